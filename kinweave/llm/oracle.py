@@ -26,12 +26,12 @@ WITH d AS (
 s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
 w AS (
   SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
-         row_number() OVER (ORDER BY source NULLS LAST) AS at
+         row_number() OVER (ORDER BY source NULLS LAST) AS nr
   FROM s),
 r AS (
-  SELECT *, row_number() OVER (ORDER BY size::DOUBLE / w, at) AS rk,
-         coalesce(sum(size) OVER (ORDER BY size::DOUBLE / w, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
-         coalesce(sum(w) OVER (ORDER BY size::DOUBLE / w, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wbelow,
+  SELECT *, row_number() OVER (ORDER BY size::DOUBLE / w, nr) AS rk,
+         coalesce(sum(size) OVER (ORDER BY size::DOUBLE / w, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+         coalesce(sum(w) OVER (ORDER BY size::DOUBLE / w, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wbelow,
          sum(size) OVER () AS total, sum(w) OVER () AS wtotal
   FROM w),
 first_open AS (
@@ -39,19 +39,19 @@ first_open AS (
   WHERE (3 * total - 4 * below) * w <= 2 * size * 2 * (wtotal - wbelow)),
 level AS (SELECT (3 * total - 4 * below)::BIGINT AS spare, (wtotal - wbelow)::BIGINT AS weight, r.rk FROM r JOIN first_open USING (rk)),
 t AS (
-  SELECT source, at, size, CASE WHEN r.rk < level.rk THEN (2 * size)::DOUBLE ELSE (spare * w)::DOUBLE / (weight * 2)::DOUBLE END AS target
+  SELECT source, nr, size, CASE WHEN r.rk < level.rk THEN (2 * size)::DOUBLE ELSE (spare * w)::DOUBLE / (weight * 2)::DOUBLE END AS target
   FROM r, level),
 seats AS (
-  SELECT at, count(*) AS quota FROM (
-    SELECT at FROM t, LATERAL (SELECT unnest(range(1, (target / 64)::BIGINT + 3)) AS k)
-    ORDER BY target / (2 * k - 1)::DOUBLE DESC, at
+  SELECT nr, count(*) AS quota FROM (
+    SELECT nr FROM t, LATERAL (SELECT unnest(range(1, (target / 64)::BIGINT + 3)) AS k)
+    ORDER BY target / (2 * k - 1)::DOUBLE DESC, nr
     LIMIT (SELECT round_even(sum(target) / 64, 0)::BIGINT FROM t))
-  GROUP BY at),
+  GROUP BY nr),
 p AS (
   SELECT d.doc_id, d.size, t.size AS source_size, target, coalesce(quota, 0) AS quota,
          (t.size + 63) // 64 AS blocks,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats ON seats.at = t.at)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats ON seats.nr = t.nr)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE least(quota // blocks * size
          + greatest(0, least(size, least(quota % blocks * 64, source_size) - start)), 2 * size) END::BIGINT AS taken

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .exact_dedup import exact_dedup, normalised
 from .mixing import mix
+from .near_dedup import jaccard_classes
+from .quality import score_quality
 from .sharding import external_shuffle, record_size
 
 
@@ -21,6 +23,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by the rule ensemble."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its place in one of 24 shards of an external shuffle."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,4 +42,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op8_mixing)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and its number of links."""
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op4_sharding, op8_mixing, op9_jaccard_join)}
