@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anomalies import judge
 from .common import text_of
 from .exact_dedup import exact_dedup, normalised
+from .licences import scan_licences
 from .mixing import mix
 from .near_dedup import jaccard_classes
+from .pieces import Vocabulary, decode, encode
 from .quality import score_quality
 from .sharding import external_shuffle, record_size
 
+#: A model of a public tokenizer; override with the environment's own path.
+PIECE_MODEL = os.environ.get("KINWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +36,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to the very text."""
+    vocabulary = Vocabulary.load(PIECE_MODEL)
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == text_of()).alias("round_trip"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its place in one of 24 shards of an external shuffle."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +51,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule statistics and the verdict of the base rules and the isolation forest."""
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that a mix of 150 % of all words takes from it."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -47,4 +68,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op4_sharding, op8_mixing, op9_jaccard_join)}
+def op10_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and the licences whose templates match."""
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_piece_codec, op4_sharding, op6_isolation_forest, op8_mixing, op9_jaccard_join, op10_licence_templates)}
