@@ -57,3 +57,42 @@ SELECT doc_id, size, source_size, target,
          + greatest(0, least(size, least(quota % blocks * 64, source_size) - start)), 2 * size) END::BIGINT AS taken
 FROM p
 """
+
+# The posterior of a host by the same moments; registered domains and suffixes by the same labels.
+ORACLE["op7_url_reputation"] = r"""
+WITH p AS (
+  SELECT page_id,
+         CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         len(regexp_extract_all(coalesce(html, ''), '\*\*\*|###|\$\$\$|%%%|!!')) AS junk,
+         len(regexp_extract_all(coalesce(html, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM pages),
+o AS (
+  SELECT *, CASE WHEN words > 0 THEN (regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') OR junk * 10 > words)::INT END AS outcome,
+         string_split(host, '.') AS l
+  FROM p),
+h AS (
+  SELECT host, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad, any_value(l) AS l,
+         any_value(CASE WHEN length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND len(l) > 2 THEN 2 ELSE 1 END) AS k
+  FROM o GROUP BY host),
+h2 AS (SELECT host, n, bad, array_to_string(l[-(k + 1):], '.') AS domain, array_to_string(l[-k:], '.') AS suffix FROM h),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+levels AS (SELECT 1 AS lv, n, bad FROM s WHERE n > 0 UNION ALL SELECT 2, n, bad FROM d WHERE n > 0 UNION ALL SELECT 3, n, bad FROM h2 WHERE n > 0),
+m AS (SELECT lv, sum(bad) / sum(n) AS p, sum(n) AS n, count(*) AS c FROM levels GROUP BY lv),
+v AS (
+  SELECT lv, any_value(p) AS p, sum(l.n * pow(l.bad / l.n - p, 2)) / any_value(m.n) - any_value(p * (1 - p) * c / m.n) AS spread
+  FROM levels l JOIN m USING (lv) GROUP BY lv),
+k AS (SELECT lv, p, CASE WHEN spread > 0 THEN least(greatest(p * (1 - p) / spread - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM v),
+sr AS (SELECT suffix, (k * p + bad) / (k + n) AS r FROM s, k WHERE lv = 1),
+dr AS (SELECT domain, (k * r + bad) / (k + n) AS r FROM d JOIN sr USING (suffix), k WHERE lv = 2),
+ab AS (SELECT host, k * r + bad AS a, k * (1 - r) + n - bad AS b FROM h2 JOIN dr USING (domain), k WHERE lv = 3),
+bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(greatest(a * b, 0) / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
+rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(rules.verdict, length(rhost || rpath)) AS verdict
+  FROM o JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM o JOIN bound USING (host) LEFT JOIN fit USING (page_id)
+"""

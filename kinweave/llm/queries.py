@@ -15,7 +15,9 @@ from .mixing import mix
 from .near_dedup import jaccard_classes
 from .pieces import Vocabulary, decode, encode
 from .quality import score_quality
+from .secrets import scan_secrets
 from .sharding import external_shuffle, record_size
+from .url_filter import filter_urls
 
 #: A model of a public tokenizer; override with the environment's own path.
 PIECE_MODEL = os.environ.get("KINWEAVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -51,12 +53,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of a secret in every document, and whether the forest takes it for one."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rule statistics and the verdict of the base rules and the isolation forest."""
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with the rule that decides on it, else its host's reputation."""
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that a mix of 150 % of all words takes from it."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -73,4 +85,4 @@ def op10_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_piece_codec, op4_sharding, op6_isolation_forest, op8_mixing, op9_jaccard_join, op10_licence_templates)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_piece_codec, op4_sharding, op5_secret_forest, op6_isolation_forest, op7_url_reputation, op8_mixing, op9_jaccard_join, op10_licence_templates)}
