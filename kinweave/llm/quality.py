@@ -59,16 +59,14 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[Rule, float]]
 
-    def margin(self) -> Column:
+    def score(self, at: str = "") -> str:
+        """The chance of label 1 as SQL text, over statistics that are columns, or fields of ``at``."""
+
         def holds(rule: Rule) -> str:
-            return " AND ".join(f"{self.names[f]} {'<=' if low else '>'} {t!r}D" for f, low, t in rule)
+            return " AND ".join(f"{at}{self.names[f]} {'<=' if low else '>'} {t!r}D" for f, low, t in rule)
 
         terms = [f"CASE WHEN {holds(rule)} THEN {w!r}D ELSE 0D END" for rule, w in self.rules]
-        return F.expr(" + ".join([f"{self.intercept!r}D", *terms]))
-
-    def score(self) -> Column:
-        """The chance of label 1, in a frame that has the statistics."""
-        return 1 / (1 + F.exp(-self.margin()))
+        return f"1D / (1D + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))"
 
 
 def paths(node: Node, before: Rule = ()) -> list[Rule]:
@@ -150,7 +148,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     stats = statistics(F.col("text"))
     rows = materialise(docs.select("doc_id", text_of().alias("text")).select("doc_id", *[c.cast("double").alias(k) for k, c in stats.items()]), "statistics")
     model = learn(rows, labels, sample)
-    score = model.score()
+    score = F.expr(model.score())
     return rows.select("doc_id", is_held_out().alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
 
 
@@ -166,5 +164,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     """The rows of ``docs`` that the classifier accepts (score of at least 0.3), unchanged."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = packed.select("row", F.col("row.doc_id").alias("doc_id"), *[c.cast("double").alias(k) for k, c in statistics(text).items()])
-    return rows.where(learn(rows.drop("row"), labels, sample).score() >= ACCEPT).select("row.*")
+    stats = [c.cast("double").alias(k) for k, c in statistics(text).items()]
+    model = learn(packed.select(F.col("row.doc_id").alias("doc_id"), *stats), labels, sample)
+    # The statistics are one value that the rules share, so that none is worked out again for each rule.
+    rows = packed.withColumn("stats", F.array(F.struct(*stats)))
+    return rows.where(F.expr(f"exists(stats, s -> {model.score('s.')} >= {ACCEPT}D)")).select("row.*")
