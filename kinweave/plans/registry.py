@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import rules
+
+QUERIES: dict = {**rules.QUERIES}
+ORACLE: dict[str, str] = {**rules.ORACLE}
