@@ -35,7 +35,7 @@ MARITAL = (("ehe", "witw|verh|ehe|hausfrau|weib|uxor|vidu"), ("ledig", "ledig|ju
 #: Particles of a surname.
 PARTICLE = "von der|von dem|von|zu|de|v\\."
 
-_WORD = "[^0-9a-z_äöüßàâçéèêëîïôûñ]"
+_WORD = r"(?U)\W"
 
 
 def _lookup(table: dict[str, str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import linkage, rules
 
-QUERIES: dict = {**rules.QUERIES}
-ORACLE: dict[str, str] = {**rules.ORACLE}
+QUERIES: dict = {**linkage.QUERIES, **rules.QUERIES}
+ORACLE: dict[str, str] = {**linkage.ORACLE, **rules.ORACLE}
