@@ -116,62 +116,83 @@ def sex_of_given(given: Column, male: list[str], female: list[str]) -> Column:
     return F.get(F.filter(F.transform(words, of), lambda s: s.isNotNull()), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _void(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
 def markers(part: Column) -> Column:
     """struct(text, deceased, widowed, birth_name, alternative, uncertain, sex, unknown): what a part of a person's cell says beside the name."""
-    t = F.trim(F.coalesce(part, F.lit("")))
-    late = F.regexp_like(t, F.lit(r"(?i)^(?:(weyl|weil|weiland|sel|seel|selig|seelig|gest|verst)\.?|[+†])$"))
-    late_first = F.regexp_like(t, F.lit(r"(?i)^(weyl|weil|weiland)\.?\s"))
-    cross = F.regexp_like(t, F.lit(r"^\+\s|\s\+\s|†"))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)^(weyl|weil|weiland)\.?\s+", ""), r"^\+\s|\s\+\s|†", " "))
-    widow = F.regexp_like(t, F.lit(r"(?i)\((W|Witwe|Witwer|Wwe|Wwer)\)")) | F.regexp_like(t, F.lit(r"\bWitt?we(r)?\b"))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)\((W|Witwe|Witwer|Wwe|Wwer)\)", ""), r",?\s*\bWitt?we(r)?\b", ""))
-    born = F.regexp_replace(F.regexp_extract(t, r"\bgeb\.?\s+([^\s(,]+(?:\s[^\s(,]+)?)", 1), r"\(in\)$", "")
-    t = F.trim(F.regexp_replace(t, r"\bgeb\.?\s+([^\s(,]+(?:\s[^\s(,]+)?)", ""))
-    other = F.regexp_extract(t, r"(?:\(\?\??\)\s*)?=\s*(\S+)\s*$", 1)
-    t = F.trim(F.regexp_replace(t, r"(?:\(\?\??\)\s*)?=\s*\S+\s*$", ""))
-    unsure = F.contains(t, F.lit("?"))
-    t = F.trim(F.regexp_replace(t, r"\s*\(\?+\)|\s*\?+", ""))
-    ending = F.contains(t, F.lit("(in)"))
-    t = F.trim(F.replace(t, F.lit("(in)"), F.lit("")))
-    nobody = F.regexp_like(t, F.lit(r"(?i)^(N\.?N?\.?|NN\.?|N\. N\.|unbekannt|unknown)$"))
-    t = F.regexp_replace(t, rf"^(.+?)\s+({PARTICLE})$", "$2 $1")
-    noun = F.lit(None).cast("string")
-    for word, sex in SEX_NOUNS.items():
-        noun = F.when(F.regexp_like(t, F.lit(rf"(?iU)\b{word}\b")), sex).otherwise(noun)
-    t = F.when(late | nobody, "").otherwise(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ ,;]+|[ ,;]+$", ""))
-    void = lambda c: F.when(c != "", c)
-    return F.struct(
-        t.alias("text"), (late | late_first | cross).alias("deceased"), widow.alias("widowed"), void(born).alias("birth_name"), void(other).alias("alternative"),
-        unsure.alias("uncertain"), F.coalesce(noun, F.when(ending, "F")).alias("sex"), nobody.alias("unknown"),
-    )
+    has = lambda t, p: F.regexp_like(t, F.lit(p))
+    less = lambda t, p, put="": F.regexp_replace(t, p, put)
+    widow, widow_word = r"(?i)\((W|Witwe|Witwer|Wwe|Wwer)\)", r"\bWitt?we(r)?\b"
+    born, other = r"\bgeb\.?\s+([^\s(,]+(?:\s[^\s(,]+)?)", r"(?:\(\?\??\)\s*)?=\s*(\S+)\s*$"
+
+    def dead(t: Column) -> Column:
+        late = has(t, r"(?i)^(?:(weyl|weil|weiland|sel|seel|selig|seelig|gest|verst)\.?|[+†])$")
+        first, cross = r"(?i)^(weyl|weil|weiland)\.?\s+", r"^\+\s|\s\+\s|†"
+        rest = F.trim(less(less(t, first), cross, " "))
+        return F.struct(F.when(late, "").otherwise(rest).alias("t"), (late | has(t, first) | has(t, cross)).alias("deceased"))
+
+    def said(a: Column) -> Column:
+        t = a["t"]
+        unmarried = F.trim(less(less(t, widow), rf",?\s*{widow_word}"))
+        bare = F.trim(less(F.trim(less(unmarried, born)), other))
+        return F.struct(
+            bare.alias("t"), a["deceased"].alias("deceased"), (has(t, widow) | has(t, widow_word)).alias("widowed"),
+            _void(less(F.regexp_extract(unmarried, born, 1), r"\(in\)$")).alias("birth_name"), _void(F.regexp_extract(F.trim(less(unmarried, born)), other, 1)).alias("alternative"),
+        )
+
+    def plain(b: Column) -> Column:
+        t = F.trim(less(b["t"], r"\s*\(\?+\)|\s*\?+"))
+        return F.struct(F.trim(F.replace(t, F.lit("(in)"), F.lit(""))).alias("t"), F.contains(b["t"], F.lit("?")).alias("uncertain"), F.contains(t, F.lit("(in)")).alias("ending"), b.alias("b"))
+
+    def done(d: Column) -> Column:
+        nobody = has(d["t"], r"(?i)^(N\.?N?\.?|NN\.?|N\. N\.|unbekannt|unknown)$")
+        t = less(d["t"], rf"^(.+?)\s+({PARTICLE})$", "$2 $1")
+        noun = F.lit(None).cast("string")
+        for word, sex in SEX_NOUNS.items():
+            noun = F.when(has(t, rf"(?iU)\b{word}\b"), sex).otherwise(noun)
+        text = F.when(nobody, "").otherwise(less(less(t, r"\s+", " "), r"^[ ,;]+|[ ,;]+$"))
+        b = d["b"]
+        return F.struct(
+            text.alias("text"), b["deceased"].alias("deceased"), b["widowed"].alias("widowed"), b["birth_name"].alias("birth_name"), b["alternative"].alias("alternative"),
+            d["uncertain"].alias("uncertain"), F.coalesce(noun, F.when(d["ending"], "F")).alias("sex"), nobody.alias("unknown"),
+        )
+
+    return let(F.trim(F.coalesce(part, F.lit(""))), lambda t: let(dead(t), lambda a: let(said(a), lambda b: let(plain(b), done))))
 
 
 def parse_person(cell: Column) -> Column:
     """struct(name, given, occupation, birth_name, sex, deceased, widowed, uncertain, unknown, stillborn) of a cell "Surname, Given, extras…"."""
-    text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
     still = r"(?i)\b(tot|tod)\s*-?\s*geb[a-zäöüß]*"
     nouns = rf"(?iU)\b({'|'.join(SEX_NOUNS)})\b"
+    first, last = rf"^({PARTICLE})\s+(.+)$", rf"^(.+?)\s+({PARTICLE})$"
 
     def part(t: Column) -> Column:
-        dead = F.regexp_like(t, F.lit(still))
         bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, still, ""), nouns, ""), r"[\s\-–,;]+", " "))
-        return F.when(dead, bare).otherwise(t)
-
-    found = F.transform(F.split(text, r"\s*,\s*"), lambda x: markers(x))
-    first, second, rest = F.get(found, F.lit(0)), F.get(found, F.lit(1)), F.slice(found, 3, 1000)
-    any_ = lambda f: F.exists(found, lambda m: m[f])
-    some = lambda f: F.element_at(F.filter(F.transform(found, lambda m: m[f]), lambda v: v.isNotNull()), -1)
-    last = lambda f: F.when(F.exists(found, lambda m: m[f].isNotNull()), some(f))
-    given, name = part(second["text"]), part(first["text"])
-    particle = F.coalesce(F.regexp_extract(given, rf"^(.+?)\s+({PARTICLE})$", 2), F.lit(""))
-    led = F.coalesce(F.regexp_extract(given, rf"^({PARTICLE})\s+(.+)$", 1), F.lit(""))
-    mark = F.when(led != "", led).otherwise(particle)
-    given = F.when(led != "", F.regexp_extract(given, rf"^({PARTICLE})\s+(.+)$", 2)).when(particle != "", F.regexp_extract(given, rf"^(.+?)\s+({PARTICLE})$", 1)).otherwise(given)
-    name = F.when((mark != "") & (name != "") & ~F.startswith(F.lower(name), mark), F.concat_ws(" ", mark, name)).otherwise(name)
-    extras = F.array_join(F.filter(F.transform(rest, lambda m: m["text"]), lambda t: t != ""), ", ")
-    void = lambda c: F.when(c != "", c)
-    return F.struct(
-        void(name).alias("name"), void(given).alias("given"), void(extras).alias("occupation"), last("birth_name").alias("birth_name"), last("sex").alias("sex"),
-        any_("deceased").alias("deceased"), any_("widowed").alias("widowed"), any_("uncertain").alias("uncertain"), any_("unknown").alias("unknown"),
-        F.regexp_like(text, F.lit(still)).alias("stillborn"),
-    )
+        return F.when(F.regexp_like(t, F.lit(still)), bare).otherwise(t)
+
+    def person(text: Column, found: Column) -> Column:
+        any_ = lambda f: F.exists(found, lambda m: m[f])
+        latest = lambda f: F.get(F.reverse(F.filter(F.transform(found, lambda m: m[f]), lambda v: v.isNotNull())), F.lit(0))
+        extras = F.array_join(F.filter(F.transform(F.slice(found, 3, 1000), lambda m: m["text"]), lambda t: t != ""), ", ")
+
+        def named(n: Column) -> Column:
+            led = F.regexp_extract(n["given"], first, 1)
+            mark = F.coalesce(F.when(led != "", led).otherwise(F.regexp_extract(n["given"], last, 2)), F.lit(""))
+            given = F.when(led != "", F.regexp_extract(n["given"], first, 2)).when(mark != "", F.regexp_extract(n["given"], last, 1)).otherwise(n["given"])
+            name = F.when((mark != "") & (n["name"] != "") & ~F.startswith(F.lower(n["name"]), mark), F.concat_ws(" ", mark, n["name"])).otherwise(n["name"])
+            return F.struct(
+                _void(name).alias("name"), _void(given).alias("given"), _void(extras).alias("occupation"), latest("birth_name").alias("birth_name"), latest("sex").alias("sex"), any_("deceased").alias("deceased"),
+                any_("widowed").alias("widowed"), any_("uncertain").alias("uncertain"), any_("unknown").alias("unknown"), F.regexp_like(text, F.lit(still)).alias("stillborn"),
+            )
+
+        return let(F.struct(part(F.get(found, F.lit(0))["text"]).alias("name"), part(F.get(found, F.lit(1))["text"]).alias("given")), named)
+
+    text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
+    return let(text, lambda t: let(F.transform(F.split(t, r"\s*,\s*"), markers), lambda found: person(t, found)))

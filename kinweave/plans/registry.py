@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import linkage, rules
+from . import linkage, registers, rules
 
-QUERIES: dict = {**linkage.QUERIES, **rules.QUERIES}
-ORACLE: dict[str, str] = {**linkage.ORACLE, **rules.ORACLE}
+_PARTS = (linkage, registers, rules)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
