@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import linkage, registers, rules
+from . import linkage, registers, reports, rules
 
-_PARTS = (linkage, registers, rules)
+_PARTS = (linkage, registers, reports, rules)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
