@@ -1,0 +1,487 @@
+"""The corpus operators against brute force, with nulls, empty and very long texts, ties, repeated rows and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinweave.llm import anomalies, exact_dedup, licences, mixing, near_dedup, pieces, quality, secrets, sharding, url_filter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def rows_of(seed=1, n=60):
+    rng = random.Random(seed)
+    vocabulary = ["der", "die", "und", "Haus", "Baum", "grün", "läuft", "schnell", "über", "Berg", "weit", "oben", "kaum", "mehr", "Licht", "im", "Tal"]
+    out = []
+    for i in range(n):
+        body = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 80)))
+        out.append((i, body, "de", f"src{i % 4}", len(body)))
+    out += [(100, out[3][1], "de", "src0", 1), (101, " " + out[3][1].replace(" ", "\n"), "de", "src1", 1), (102, None, None, None, None), (103, "", "de", "src2", 0), (104, " \t\n", "de", "src2", 3)]
+    long = " ".join(rng.choice(vocabulary) + str(rng.randint(0, 999)) for _ in range(30_000))
+    out += [(105, long, "de", "src3", 1), (106, long + " Ende", "de", "src3", 1), (105, long, "de", "src3", 1), (None, "ohne Nummer und mehr", "de", "src1", 1), (None, "ohne Nummer und mehr", "de", "src1", 1)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows_of(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(df):
+    """The same rows with columns named as those used within."""
+    return df.withColumns({x: F.lit(x) for x in ("n", "row", "key", "grp", "digit", "best", "others", "bucket", "mark", "record", "place", "norm", "stats")})
+
+
+# ---- exact dedup
+
+
+def expected_groups(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault("".join(words(r[1])), []).append(r)
+    return groups
+
+
+@pytest.mark.parametrize("widths", [(24, 512, 16), (1, 1, 2)])
+def test_exact_dedup_against_brute_force(docs, widths):
+    out = exact_dedup.exact_dedup(docs, True, *widths).collect()
+    rows = rows_of()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
+    for norm, group in expected_groups(rows).items():
+        got = [r for r in out if "".join(words(r.text)) == norm]
+        best = min(group, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
+        assert {(r.keep_id, r.group_size) for r in got} == {(best[0], len(group))}
+        kept = [r for r in got if r.kept]
+        assert len(kept) == 1 and kept[0].doc_id == best[0] and len(kept[0].text or "") == len(best[1] or "")
+
+
+def test_exact_dedup_columns_and_empty(docs, empty):
+    wide = clashing(docs)
+    kept = exact_dedup.keep_first(wide)
+    assert kept.columns == wide.columns and kept.count() == len(expected_groups(rows_of()))
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    lean = exact_dedup.exact_dedup(docs.select("doc_id", "text"), keep_text=False)
+    assert lean.where("text IS NOT NULL").isEmpty()
+
+
+# ---- quality
+
+
+def labelled(spark, docs):
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")).distinct()
+
+
+def test_quality_learns_and_holds_out(spark):
+    good = [(i, "Das ist ein ganz gewöhnlicher Satz, wie man ihn schreibt. Und noch einer." * (i % 3 + 1), "de", "a", 1) for i in range(150)]
+    bad = [(1000 + i, "kauf### jetzt$$$ sofort%%% " * (i % 5 + 2), "de", "a", 1) for i in range(60)]
+    docs = spark.createDataFrame(good + bad, SCHEMA)
+    labels = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels = labels.union(spark.createDataFrame([(None, 1, 0), (5, None, 0), (99999, 1, 0)], "doc_id long, quality int, toxic int"))
+    out = quality.score_quality(docs, labels).collect()
+    assert len(out) == 210
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) == int(r.doc_id < 1000)
+    # Labels of held-out rows don't matter.
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {(r.doc_id, r.score) for r in quality.score_quality(docs, turned).collect()} == {(r.doc_id, r.score) for r in out}
+    kept = quality.keep_good(clashing(docs), labels)
+    assert {r.doc_id for r in kept.collect()} == set(range(150)) and kept.columns == clashing(docs).columns
+
+
+def test_quality_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
+    assert quality.score_quality(empty, none).count() == 0 and quality.keep_good(empty, none).count() == 0
+    out = quality.score_quality(docs, labelled(spark, docs)).collect()
+    assert len(out) == len(rows_of()) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_rules_are_paths():
+    x = np.array([[0.0, 1.0], [1.0, 0.0], [2.0, 1.0], [3.0, 0.0]] * 20)
+    tree = quality.fit_tree(x, (x[:, 0] > 1.5).astype(float), 2, 1, np.random.default_rng(1))
+    assert set(quality.paths(tree)) == {((0, True, 1.5),), ((0, False, 1.5),)}
+
+
+# ---- pieces
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Vocabulary.load(MODEL)
+
+
+def fields(proto, at, end):
+    """(number, place of the value, end of the field) of a message's fields."""
+    def varint(i):
+        n = shift = 0
+        while True:
+            n |= (proto[i] & 127) << shift
+            shift += 7
+            i += 1
+            if proto[i - 1] < 128:
+                return n, i
+
+    while at < end:
+        tag, value = varint(at)
+        if tag & 7 == 2:
+            size, value = varint(value)
+            at = value + size
+        else:
+            at = varint(value)[1] if tag & 7 == 0 else value + (4 if tag & 7 == 5 else 8)
+        yield tag >> 3, value, at
+
+
+def as_unigram():
+    """The library's processor, made to take the model's pieces as a unigram model's: trainer_spec (2), model_type (3) is 1."""
+    import sentencepiece
+
+    proto = bytearray(sentencepiece.SentencePieceProcessor(model_file=MODEL).serialized_model_proto())
+    spec = next((v, e) for n, v, e in fields(proto, 0, len(proto)) if n == 2)
+    kind = next(v for n, v, _ in fields(proto, *spec) if n == 3)
+    assert proto[kind] == 2
+    proto[kind] = 1
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(proto))
+
+
+def test_viterbi_is_the_librarys(vocabulary):
+    """The library's own Viterbi finds the same segmentation."""
+    unigram = as_unigram()
+    codec = pieces.Codec(vocabulary)
+    for text in ["Hello world", "  zwei  Leer", "grüßen über\nZeilen\t und Tabs", "日本語 テスト", "a" * 40, "ärgerlich!!! 12.345,67", "🙂 x", *[r[1] for r in rows_of()[:40]]]:
+        assert codec.encode(text).tolist() == unigram.encode(text), text
+
+
+def brute_viterbi(v, text):
+    """Best sum of scores over all segmentations, by trying every piece at every place."""
+    skip = v.special | set(v.byte_ids)
+    ids = {p: i for i, p in enumerate(v.pieces) if i not in skip}
+    worst = min(v.scores[i] for i in ids.values()) - pieces.UNKNOWN_PENALTY
+    best = [0.0] + [None] * len(text)
+    for e in range(1, len(text) + 1):
+        options = [best[s] + v.scores[ids[text[s:e]]] for s in range(max(0, e - 40), e) if text[s:e] in ids]
+        if text[e - 1] not in ids:
+            options.append(best[e - 1] + worst)
+        best[e] = max(options)
+    return best[-1], worst
+
+
+def test_viterbi_is_the_best(vocabulary):
+    codec, byte_ids = pieces.Codec(vocabulary), set(vocabulary.byte_ids)
+    for text in ["unbelievable", "Donaudampfschiff", "naïveté☃x", "x" * 33]:
+        marked = pieces.SPACE_MARK + text
+        best, worst = brute_viterbi(vocabulary, marked)
+        ids = codec.viterbi(marked)
+        unknown = sum(c not in codec.single for c in marked)
+        assert sum(vocabulary.scores[i] for i in ids if i not in byte_ids) + unknown * worst == pytest.approx(best)
+
+
+def test_codec_round_trip(spark, docs, empty, vocabulary):
+    coded = pieces.decode(pieces.encode(clashing(docs).withColumn("ids", F.lit("old")), vocabulary), vocabulary)
+    out = coded.collect()
+    assert len(out) == len(rows_of()) and all(r.decoded == (r.text or "") for r in out)
+    assert all(r["ids"] == [] for r in out if not r.text)
+    assert pieces.decode(pieces.encode(empty, vocabulary), vocabulary).count() == 0
+    odd = ["\x00", "a\r\nb", "  ", " führend", "nachher ", "\u2028", "𝔘𝔫𝔦", "x" * 100_000]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert [r.decoded for r in pieces.decode(pieces.encode(df, vocabulary), vocabulary).orderBy("doc_id").collect()] == odd
+    nulls = spark.createDataFrame([(None,)], "ids array<int>")
+    assert pieces.decode(nulls, vocabulary).first().decoded == ""
+
+
+# ---- sharding
+
+
+def test_sharding_laws(docs, empty):
+    out = sharding.external_shuffle(docs, 5, bucket_bytes=2000).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows_of())
+    slots = {s: sorted(r.slot for r in out if r.shard == s) for s in range(5)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.external_shuffle(docs.repartition(7), 5, bucket_bytes=2000).collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.text, r.shard, r.slot) for r in out)
+    other = sharding.external_shuffle(docs, 5, seed=99, bucket_bytes=2000).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in other} != {(r.doc_id, r.shard, r.slot) for r in out}
+    assert sharding.external_shuffle(empty, 5).count() == 0
+    assert sharding.external_shuffle(clashing(docs), 5).columns == [*clashing(docs).columns, "shard", "slot"]
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows_of()) and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+# ---- secrets
+
+
+def test_secret_spans_and_forest(spark, empty):
+    rng = random.Random(3)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(120):
+        kind = i % 3
+        key = hexed(40) if kind == 0 else "".join(rng.choice("0123456789") for _ in range(16)) if kind == 1 else f"Abschnitt_{i:04d}_Kapitel"
+        before = 'token = "' if kind == 0 else "Karte " if kind == 1 else "siehe "
+        rows.append((i, f'ärger {before}{key}" danach und {key[:5]} weiter', "de", "a", 1))
+    rows += [(500, None, None, None, None), (501, "", "de", "a", 0), (502, "z" * 50_000, "de", "a", 1), (503, "a1" * 20_000, "de", "a", 1), (None, "key=0123456789abcdef01", "de", "a", 1)]
+    out = secrets.scan_secrets(clashing(spark.createDataFrame(rows, SCHEMA))).collect()
+    texts = {r[0]: r[1] for r in rows}
+    pattern = re.compile(secrets.CANDIDATE)
+    assert Counter((r.doc_id, r.start, r.stop, r.candidate) for r in out) == Counter((d, m.start(), m.end(), m[0]) for d, t in texts.items() for m in pattern.finditer(t or ""))
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 120]
+    assert held and all(r.is_secret == (r.doc_id % 3 == 0) for r in held)
+    assert secrets.scan_secrets(empty).count() == 0
+    labels = spark.createDataFrame([(r.doc_id, r.start, int(r.doc_id % 3 == 1)) for r in out if r.doc_id is not None and r.doc_id < 120] + [(1, 0, None), (None, 3, 1)], "doc_id long, start long, label int")
+    turned = secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert all(r.is_secret == (r.doc_id % 3 == 1) for r in turned if r.held_out and r.doc_id is not None and r.doc_id < 120)
+
+
+# ---- quality rules
+
+
+def brute_repeats(ws):
+    n, seen = len(ws), {}
+    for i in range(n - 7):
+        seen.setdefault(tuple(ws[i : i + 8]), []).append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)})
+
+
+def test_rule_statistics_against_brute_force(docs, empty):
+    rng = random.Random(5)
+    for n in (0, 7, 8, 9, 16, 40, 300):
+        ws = [rng.choice("ab") for _ in range(n)]
+        assert anomalies.repeat_words(ws) == brute_repeats(ws)
+    for r in anomalies.rule_statistics(docs).collect():
+        found = [x for x in rows_of() if x[0] == r.doc_id]
+        t = found[0][1] or ""
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(words(t)), sum(map(len, words(t))), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        if len(t) < 5000:
+            assert r.n_repeat_words == brute_repeats(words(t))
+    assert anomalies.rule_statistics(empty).count() == 0
+
+
+def test_isolation_forest_calibrated(spark, docs, empty):
+    rng = random.Random(8)
+    clean = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    rows = [(i, clean(), "de", "a", 1) for i in range(300)] + [(1000 + i, " ".join(w + "###" for w in clean().split()), "de", "a", 1) for i in range(30)] + [(2000, None, None, None, None), (2001, "kurz", "de", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = df.where("doc_id < 2000").select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    out = {r.doc_id: r for r in anomalies.judge(clashing(df), labels).collect()}
+    assert all(out[i].kept for i in range(300)) and not any(out[1000 + i].kept for i in range(30))
+    assert out[2000].base_failed and out[2001].base_failed and not out[2001].kept
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert all(r.kept != r.base_failed for r in anomalies.judge(df, none).collect()) and anomalies.judge(empty, none).count() == 0
+
+
+# ---- urls
+
+PAGES = "page_id long, url string, html string"
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
+    return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in m[1]), m[2]
+
+
+def test_url_rules_and_reputation(spark):
+    urls = ["http://a.example.com/en/12", "http://a.example.com/en/7x", "HTTP://B.Example.NET/de/81?x=/en/", "http://example.net/de/1#t", "http://x.org/es/", "http://x.org/fr/", None, "", "nothing", "a://b://c/en/", "http://com/en/", "http://xcom/en/", "http://Ä.example.COM", "http://h.com?q", "http://h.com#q"]
+    rows = [(i, u, "ein Wort") for i, u in enumerate(urls)] + [(100 + i, f"http://spam.test.de/{i}", "x ###") for i in range(40)] + [(200 + i, f"http://gut.test.de/{i}", "ein gutes Wort") for i in range(40)] + [(None, "http://gut.test.de/", None), (300, "http://neu.spam-casino.de/1", "")]
+    out = {(r.page_id, r.host, r.path): r for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    for pid, url, _ in rows:
+        host, path = brute_url(url)
+        r = out[(pid, host, path)]
+        fit = max((x for x in rules if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])), key=lambda x: len(x[1] + x[2]), default=None)
+        assert r.rule == (fit and fit[1] + fit[2])
+        if fit:
+            assert r.verdict == fit[0]
+        elif host == "spam.test.de":
+            assert r.verdict == "block"
+        elif host == "gut.test.de":
+            assert r.verdict == "allow"
+    assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_shrinkage_goes_by_levels(spark):
+    """A host without labelled pages gets its domain's rate; one page says less than many."""
+    rows = [(f"h{i}.bad.de", 1) for i in range(20) for _ in range(5)] + [(f"h{i}.good.de", 0) for i in range(20) for _ in range(5)] + [("new.bad.de", None), ("new.good.de", None), ("h0.good.de", 1)]
+    rep = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, outcome int")).collect()}
+    mean = {h: r.a / (r.a + r.b) for h, r in rep.items()}
+    assert mean["new.bad.de"] > 0.8 > 0.2 > mean["new.good.de"]
+    assert mean["h1.good.de"] < mean["h0.good.de"] < 0.5 and all(r.bound <= mean[h] for h, r in rep.items())
+
+
+# ---- mixing
+
+
+def test_water_fill_and_sainte_lague():
+    targets = mixing.water_fill([100, 100, 100], [5, 2, 1])
+    assert targets[0] == 200 and sum(targets) == pytest.approx(450) and max(targets) <= 200
+    for seed in range(30):
+        rng = random.Random(seed)
+        t = [rng.choice([0, rng.randint(1, 500)]) for _ in range(rng.randint(1, 9))]
+        n = rng.randint(0, 300)
+        seats = [0] * len(t)
+        for _ in range(n if sum(t) else 0):  # one by one
+            i = max(range(len(t)), key=lambda i: (t[i] / (2 * seats[i] + 1), -i))
+            seats[i] += 1
+        assert mixing.sainte_lague(list(map(float, t)), n) == seats
+        if sum(t):
+            by_shard = mixing.quotas(list(map(float, t)), 4, 8)
+            assert all(q >= 0 for row in by_shard for q in row)
+
+
+def test_mix_nears_targets(docs, empty):
+    out = mixing.mix(docs, block=4, stretch=10).collect()
+    by = {}
+    for r in out:
+        assert r.mix_size == len(words(r.text)) and 0 <= r.mix_taken <= 2 * r.mix_size
+        by.setdefault(r.source, []).append(r)
+    total = sum(r.mix_size for r in out)
+    assert sum({s: g[0].mix_target for s, g in by.items()}.values()) == pytest.approx(1.5 * total, rel=1e-6)
+    for group in by.values():
+        size, target = sum(r.mix_size for r in group), group[0].mix_target
+        assert group[0].mix_source_size == size and target <= 2 * size
+        assert abs(sum(r.mix_taken for r in group) - target) <= 3 * 4
+    again = mixing.mix(docs.repartition(5), block=4, stretch=10).collect()
+    assert Counter((r.doc_id, r.text, r.mix_taken) for r in again) == Counter((r.doc_id, r.text, r.mix_taken) for r in out)
+    whole = mixing.mix(docs, block=4).collect()  # one stretch or many: the same order
+    assert Counter((r.doc_id, r.mix_taken) for r in whole if r.doc_id is not None) == Counter((r.doc_id, r.mix_taken) for r in out if r.doc_id is not None)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    copies = Counter(r.doc_id for r in mixing.mixed(clashing(docs)).collect())
+    assert max(copies.values()) <= 4  # repeated rows of one number are drawn one by one
+
+
+# ---- near copies
+
+
+def shingles(text):
+    w = words(text)
+    k = min(5, len(w))
+    return frozenset(zip(*(w[i:] for i in range(k)), strict=False))
+
+
+def near_rows():
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    rows = [(i, r[1], "de", "a", 1) for i, r in enumerate(rows_of(2, 30))]
+    for i in range(30):  # near copies at all distances
+        ws = list(base)
+        for _ in range(i // 3):
+            ws[rng.randrange(len(ws))] = f"neu{rng.randint(0, 99)}"
+        rows.append((1000 + i, " ".join(ws), "de", "a", 1))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(2000 + i, passage + " " + " ".join(f"q{i}_{j}" for j in range(60)), "de", "a", 1) for i in range(20)]
+    rows += [(3000, "drei kurze Wörter", "de", "a", 1), (3001, "drei kurze  Wörter", "de", "a", 1), (3002, "drei kurze Wörter", "de", "a", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("block_rows", [1000, 7])
+def test_jaccard_join_against_brute_force(spark, block_rows):
+    rows = near_rows()
+    out = near_dedup.jaccard_classes(clashing(spark.createDataFrame(rows, SCHEMA)), block_rows=block_rows).collect()
+    sets = [shingles(r[1]) for r in rows]
+    n = len(rows)
+    link = lambda i, j: (rows[i][1] or "") == (rows[j][1] or "") or bool(sets[i] and sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    partners = {i: [j for j in range(n) if j != i and link(i, j)] for i in range(n)}
+    root = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            root[i] = min([root[i], *(root[j] for j in partners[i])])
+    least = {}
+    for i in range(n):
+        ids = [rows[j][0] for j in range(n) if root[j] == root[i] and rows[j][0] is not None]
+        least[i] = min(ids, default=None)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == Counter((rows[i][0], least[i], len(partners[i])) for i in range(n))
+
+
+def test_keep_one(spark, empty):
+    rows = near_rows()
+    df = clashing(spark.createDataFrame(rows, SCHEMA))
+    classes = near_dedup.jaccard_classes(df).collect()
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert {i for i in ids if i is not None} == {r.class_id for r in classes if r.class_id is not None}
+    assert ids[3000] == 1 and ids[3002] == 0 and all(v == 1 for k, v in ids.items() if k is not None)
+    assert near_dedup.keep_one(empty).count() == 0 and near_dedup.jaccard_classes(empty).count() == 0
+
+
+def test_pruning_keeps_true_pairs():
+    for n in (32, 64, 160):
+        least = near_dedup.least_matches(n, 0.8, 1e-9)
+        assert 0 < least < 0.8 * n
+        assert least <= near_dedup.least_matches(n, 0.8, 1e-3) < n
+    a = near_dedup.shingle_hashes("eins zwei drei vier fünf sechs")
+    flips, factors = near_dedup._family(64)
+    assert (near_dedup.signature(a, flips, factors) == near_dedup.signature(np.concatenate((a, a)), flips, factors)).all()
+    assert Fraction(4, 5) == near_dedup.THRESHOLD
+
+
+# ---- licences
+
+
+def regex_of(markup):
+    """A template as a regular expression over words parted by single blanks, built on its own."""
+    out = []
+    for token in re.split(r"(<<[^>]*>>)", markup):
+        if token.startswith("<<begin"):
+            out.append("(?:")
+        elif token.startswith("<<end"):
+            out.append(")?")
+        elif token.startswith("<<var"):
+            match = re.search(r'match="([^"]*)"', token)[1]
+            out.append(rf"(?:\S+ ){{1,{licences.ANY_WORDS}}}" if match == ".+" else f"(?:{match}) ")
+        else:
+            out += [re.escape(w) + " " for w in licences.words_of(token)]
+    return re.compile(r"(?<!\S)" + "".join(out))
+
+
+def test_templates_against_regular_expressions(spark, docs, empty):
+    texts = [
+        "Released under the MIT License.", "released under the terms of the mit license", "Released under a MIT License", "This software is Released under the MIT LICENSE!", "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.1", "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License either version 2 or", "Licensed under CC BY-NC 4.0.", "CC0 1.0 Universal",
+        "Copyright (c) 2020 Some Body All rights reserved", "Copyright 2020 All rights reserved", "mit license " * 3 + "general public license", "", None, "permission is hereby granted", "x " * 20_000 + "apache license",
+    ]
+    compiled = [(label, regex_of(m)) for label, m in licences.TEMPLATES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    all_ = [(i, t) for i, t in enumerate(texts)] + [(r[0], r[1]) for r in rows_of()]
+    expected = Counter()
+    for i, t in all_:
+        ws = licences.words_of(t)
+        joined = " ".join(ws) + " "
+        at = [(k, label) for p, label in licences.PHRASES for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+        base = {label for _, label in at}
+        found = {label for label, r in compiled if r.search(joined)}
+        expected[(i, len(ws), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if found else 0.5 if base else 0.0)] += 1
+    assert Counter(tuple(r) for r in licences.scan_licences(df).collect()) == expected
+    assert licences.scan_licences(empty).count() == 0
+    with pytest.raises(ValueError):
+        licences.Template("x", "a <<endOptional>> b")
+
+
+def test_sha_of_normalised_text(docs):
+    out = docs.where("doc_id = 101").select(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256).alias("h"), "text").first()
+    assert out.h == hashlib.sha256("".join(words(out.text)).encode()).hexdigest()
