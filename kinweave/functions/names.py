@@ -164,7 +164,9 @@ def markers(part: Column) -> Column:
             d["uncertain"].alias("uncertain"), F.coalesce(noun, F.when(d["ending"], "F")).alias("sex"), nobody.alias("unknown"),
         )
 
-    return let(F.trim(F.coalesce(part, F.lit(""))), lambda t: let(dead(t), lambda a: let(said(a), lambda b: let(plain(b), done))))
+    no, none = F.lit(False), F.lit(None).cast("string")
+    nothing = F.struct(F.lit("").alias("text"), no.alias("deceased"), no.alias("widowed"), none.alias("birth_name"), none.alias("alternative"), no.alias("uncertain"), none.alias("sex"), no.alias("unknown"))
+    return F.when(F.trim(F.coalesce(part, F.lit(""))) == "", nothing).otherwise(let(F.trim(part), lambda t: let(dead(t), lambda a: let(said(a), lambda b: let(plain(b), done)))))
 
 
 def parse_person(cell: Column) -> Column:
@@ -195,4 +197,6 @@ def parse_person(cell: Column) -> Column:
         return let(F.struct(part(F.get(found, F.lit(0))["text"]).alias("name"), part(F.get(found, F.lit(1))["text"]).alias("given")), named)
 
     text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
-    return let(text, lambda t: let(F.transform(F.split(t, r"\s*,\s*"), markers), lambda found: person(t, found)))
+    no, none = F.lit(False), F.lit(None).cast("string")
+    nothing = F.struct(*[none.alias(x) for x in ("name", "given", "occupation", "birth_name", "sex")], *[no.alias(x) for x in ("deceased", "widowed", "uncertain", "unknown", "stillborn")])
+    return F.when(text == "", nothing).otherwise(let(text, lambda t: let(F.transform(F.split(t, r"\s*,\s*"), markers), lambda found: person(t, found))))

@@ -147,6 +147,37 @@ def decide_by_name_and_year(mentions: DataFrame) -> DataFrame:
     return out.select("id", "stage", final.alias("final_stage"), F.when(final != "neu", first["best"]["first"]).alias("best_id"), (-first["p"]).alias("points"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def mention_pairs(mentions: DataFrame, years: int = NEAR_YEARS) -> DataFrame:
+    """Pairs of a mention and an earlier one that may be the same person, as :func:`person_points` wants them.
+
+    ``mentions`` has id, order (a number that grows with time), key, given (canonical), surname, sex, birth, death, event (partial
+    dates), adult, burial (booleans), father, mother, spouse. The pair shares the phonetic key, one canonical given name, and a birth
+    year at most ``years`` apart; each mention asks for its years one by one, so that the join is on equal values and a frequent
+    name is dealt out by year.
+    """
+    columns = ("id", "order", "given", "surname", "sex", "birth", "death", "event", "adult", "burial", "father", "mother", "spouse")
+    keyed = mentions.where("key <> '' AND given <> '' AND birth.y IS NOT NULL")
+    token = F.explode(F.array_distinct(F.split("given", " ")))
+    m = keyed.select(*[c(x).alias(f"m_{x}") for x in columns], "key", token.alias("token")).withColumn("year", F.explode(F.sequence(c("m_birth.y") - years, c("m_birth.y") + years)))
+    x = keyed.select(*[c(x).alias(f"c_{x}") for x in columns], "key", token.alias("token"), c("birth.y").alias("year"))
+    met = m.join(x, ["key", "token", "year"]).where("c_order < m_order")
+    first = F.element_at(F.array_intersect(F.split("m_given", " "), F.split("c_given", " ")), 1)  # several common names make one pair
+    met = met.where(c("token") == first)
+    return met.withColumns({"c_adult": F.when(c("c_adult"), c("c_event.y")), "c_buried": F.when(c("c_burial"), c("c_event"))})
+
+
+def link_mentions(mentions: DataFrame, components, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, identity) of mentions: pairs are scored and vetoed, each mention decides by margin, and what is linked is one identity.
+
+    A decision is for the whole of the mentions at once, not entry by entry: what an identity learns from one entry is not
+    known when the next one is judged.
+    """
+    scored = person_points(mention_pairs(mentions)).where("points IS NOT NULL")
+    anchor = full(c("m_birth")) & full(c("c_birth")) | (F.abs(c("m_birth.y") - c("c_birth.y")) <= 1)
+    decided = decide(scored.select("m_id", "c_id", "points", anchor.alias("anchor")), threshold)
+    return link_set_based(decided, mentions.select("id"), components)
+
+
 def link_set_based(decided: DataFrame, ids: DataFrame, components) -> DataFrame:
     """(id, identity): mentions that a decision links, directly or through others, are one identity, named by its smallest mention.
 
@@ -183,17 +214,20 @@ def overlay_decisions(links: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def resolve_participants(participants: DataFrame, persons: DataFrame, years: int = 15, least_age: int = 14) -> DataFrame:
-    """(part_id, person_id, n, reason): a participant is a person if exactly one fits.
+    """(part_id, person_id, reason): a participant is a person if exactly one fits.
 
     ``participants`` has part_id, key (phonetic), given (canonical), surname, year; ``persons`` person_id, key, given, surname, year (of
     a mention), birth_y, death_y. Key and given name must be equal, surnames close, the mention within ``years``, and the person old
-    enough and not dead in an earlier year. Persons meet a participant once, however many mentions they have.
+    enough and not dead in an earlier year. Equal questions are asked once, of persons folded into cells of equal names and years, so
+    that the work grows with names and years and not with the bearers of a frequent name; one person fits if the smallest and the
+    largest that do are the same.
     """
-    p = persons.select("person_id", "key", "given", c("surname").alias("p_surname"), c("year").alias("p_year"), "birth_y", "death_y")
+    ask = ["key", "given", "surname", "year"]
+    asks = participants.select(*ask).distinct()
+    cells = persons.groupBy("key", "given", c("surname").alias("p_surname"), c("year").alias("p_year"), "birth_y", "death_y").agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
     near = F.abs(c("year") - c("p_year")) <= years
     alive = F.coalesce(c("year") - c("birth_y") >= least_age, F.lit(True)) & F.coalesce(c("death_y") >= c("year"), F.lit(True))
-    met = participants.join(p, ["key", "given"]).where(near & alive & (F.levenshtein(F.lower("surname"), F.lower("p_surname")) <= 1))
-    found = met.groupBy("part_id").agg(F.countDistinct("person_id").alias("n"), F.min("person_id").alias("one"))
-    n = F.coalesce("n", F.lit(0))
-    reason = F.when(n == 0, "none fits").when(n > 1, "several fit").otherwise("one fits")
-    return participants.select("part_id").join(found, "part_id", "left").select("part_id", F.when(n == 1, c("one")).alias("person_id"), n.alias("n"), reason.alias("reason"))
+    met = asks.join(cells, ["key", "given"]).where(near & alive & (F.levenshtein(F.lower("surname"), F.lower("p_surname")) <= 1))
+    found = met.groupBy(*ask).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    reason = F.when(c("low").isNull(), "none fits").when(c("low") < c("high"), "several fit").otherwise("one fits")
+    return participants.join(found, ask, "left").select("part_id", F.when(c("low") == c("high"), c("low")).alias("person_id"), reason.alias("reason"))

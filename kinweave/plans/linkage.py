@@ -10,6 +10,10 @@ from ..functions import names as N
 from ..functions.phonetic import koelner
 from ..operators import graph
 from ..operators import linkage as L
+from ..operators import evaluate, simulate
+from ..operators.ingest import to_entries, to_fields
+from ..operators.mentions import build_mentions
+from ..sources.shared import materialise
 from .frames import PERSONS, duck, register, table
 
 QUERIES: dict = {}
@@ -132,12 +136,6 @@ def names_similar_pairs(spark, sf_dir):
     return _word_pairs(spark, sf_dir).select("a", "b", N.close_spelling(c("a"), c("b")).alias("close"), N.names_similar(c("a"), c("b")).alias("similar"))
 
 
-def _givens(spark, sf_dir) -> DataFrame:
-    """Distinct given names of the register's adults, canonical."""
-    adults = register(spark, sf_dir).p.where("person_id < 2000000").select("given").distinct()
-    return adults.select("given", N.given_canon(c("given")).alias("canon")).where("canon <> ''")
-
-
 _ADULTS = f"ad AS (SELECT * FROM ({duck(PERSONS)}) WHERE person_id < 2000000)"
 #: Canonical forms of the register's given names, by hand.
 _GIVEN_CANON = (
@@ -147,15 +145,19 @@ _GIVEN_CANON = (
 )
 
 
-@query(f"""WITH {_ADULTS}, g AS (SELECT DISTINCT given, {_GIVEN_CANON} AS canon FROM ad), p AS (SELECT x.given AS a, y.given AS b, x.canon AS ca, y.canon AS cb, string_split(x.canon, ' ') AS xs, string_split(y.canon, ' ') AS ys FROM g x, g y WHERE x.canon <> '' AND y.canon <> ''),
+@query(f"""WITH {_ADULTS}, g AS (SELECT person_id, given, {_GIVEN_CANON} AS canon FROM ad),
+p AS (SELECT DISTINCT x.given AS a, y.given AS b, x.canon AS ca, y.canon AS cb, string_split(x.canon, ' ') AS xs, string_split(y.canon, ' ') AS ys FROM orders JOIN g x ON x.person_id = o_custkey JOIN g y ON y.person_id = o_orderkey % 97 + 1 WHERE x.canon <> '' AND y.canon <> ''),
 q AS (SELECT *, CASE WHEN len(xs) = 1 THEN xs[1] ELSE ys[1] END AS one, CASE WHEN len(xs) = 1 THEN ys ELSE xs END AS many FROM p)
 SELECT a, b, (CASE WHEN ca = cb THEN 100 WHEN len(xs) = 1 OR len(ys) = 1 THEN
   CASE WHEN one = many[1] THEN CASE WHEN one IN ('johan', 'ane', 'maria') THEN 60 ELSE 90 END WHEN list_contains(many, one) THEN CASE WHEN one IN ('johan', 'ane', 'maria') THEN 40 ELSE 80 END ELSE 0 END
   WHEN len(list_filter(xs, lambda w: list_contains(ys, w))) >= 2 THEN 70 ELSE 0 END)::INT AS points, NOT list_has_any(xs, ys) AS contradiction FROM q""")
 def given_points_pairs(spark, sf_dir):
-    g = _givens(spark, sf_dir)
-    a, b = g.select(c("given").alias("a"), c("canon").alias("ca")), g.select(c("given").alias("b"), c("canon").alias("cb"))
-    return a.join(b, F.lit(True)).select("a", "b", N.given_points(c("ca"), c("cb")).alias("points"), N.given_contradiction(c("ca"), c("cb")).alias("contradiction"))
+    """The given names of each order's customer and of another one, each pair once."""
+    g = register(spark, sf_dir).p.where("person_id < 1000000").select("person_id", "given")
+    met = table(spark, sf_dir, "orders").select("o_custkey", (c("o_orderkey") % 97 + 1).alias("other"))
+    met = met.join(g.select(c("person_id").alias("o_custkey"), c("given").alias("a")), "o_custkey").join(g.select(c("person_id").alias("other"), c("given").alias("b")), "other")
+    pairs = met.select("a", "b").distinct().select("a", "b", N.given_canon(c("a")).alias("ca"), N.given_canon(c("b")).alias("cb")).where("ca <> '' AND cb <> ''")
+    return pairs.select("a", "b", N.given_points(c("ca"), c("cb")).alias("points"), N.given_contradiction(c("ca"), c("cb")).alias("contradiction"))
 
 
 # ---- dates and ages: each order's date written in one of six ways
@@ -299,7 +301,7 @@ def alternatives_top3(spark, sf_dir):
 k AS (SELECT p.*, key FROM p JOIN keys ON name = surname WHERE key <> '' AND given <> ''),
 q AS (SELECT o_orderkey AS part_id, key, given, surname, (birth_y + 20 + o_orderkey % 30)::INT AS year FROM orders JOIN k ON person_id = o_custkey WHERE birth_y IS NOT NULL),
 f AS (SELECT part_id, count(DISTINCT person_id) AS n, min(person_id) AS one FROM q JOIN k USING (key, given) WHERE abs(q.year - (k.birth_y + 30)) <= 15 AND coalesce(q.year - k.birth_y >= 14, true) AND coalesce(k.death_y >= q.year, true) AND levenshtein(lower(q.surname), lower(k.surname)) <= 1 GROUP BY part_id)
-SELECT part_id, CASE WHEN n = 1 THEN one END AS person_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'none fits' WHEN n > 1 THEN 'several fit' ELSE 'one fits' END AS reason FROM q LEFT JOIN f USING (part_id)""")
+SELECT part_id, CASE WHEN n = 1 THEN one END AS person_id, CASE WHEN n IS NULL THEN 'none fits' WHEN n > 1 THEN 'several fit' ELSE 'one fits' END AS reason FROM q LEFT JOIN f USING (part_id)""")
 def participant_unique_match(spark, sf_dir):
     p = register(spark, sf_dir).p.where("person_id < 1000000").select("person_id", koelner(c("surname")).alias("key"), N.given_canon(c("given")).alias("given"), "surname", c("birth.y").alias("birth_y"), c("death.y").alias("death_y"))
     p = p.where("key <> '' AND given <> ''").withColumn("year", c("birth_y") + 30)
@@ -357,3 +359,32 @@ def ancestors_reach(spark, sf_dir):
     k = table(spark, sf_dir, "customer").select(c("c_custkey").alias("child"))
     edges = k.where("child > 2").select("child", F.expr("child div 3").alias("parent")).union(k.where("child > 10").select("child", F.expr("child div 5 + 1")))
     return graph.ancestors(edges).groupBy("person_id").agg(F.count("*").alias("n_ancestors"), F.min("ancestor").alias("first"))
+
+
+def roundtrip(spark, sf_dir) -> DataFrame:
+    """(id, ref, identity): the register's children baptised and buried by simulation, read in again, and linked."""
+    m = register(spark, sf_dir)
+    k = m.p.where("person_id >= 10000000 AND given NOT IN ('', 'unbekannt')")
+    buried = k.where("death.y IS NOT NULL")
+    baptisms, _, burials = simulate.registers(k, m.f, m.fc.where("pos < 90"))
+    entries = []
+    for rows, kind in ((baptisms.join(buried.select(c("person_id").alias("kind_ref")), "kind_ref", "left_semi"), "taufe"), (burials, "tod")):
+        ref = "kind_ref" if kind == "taufe" else "verstorbener_ref"
+        rows = rows.withColumn("entry", c(ref) * 2 + (1 if kind == "tod" else 0))
+        names = [x for x in rows.columns if x != "entry"]
+        entries.append(to_entries(to_fields(rows, [(x, [x], None) for x in names]), kind))
+    found = build_mentions(entries[0].union(entries[1])).where("path IN ('kind', 'verstorbener')")
+    none = F.lit(None).cast("string")
+    event = F.when(c("path") == "kind", c("birth"))
+    mentions = found.join(entries[1].select("entry", c("date").alias("died")), "entry", "left").select(
+        c("entry").alias("id"), c("entry").alias("order"), c("name_key").alias("key"), c("given_canon").alias("given"), c("name").alias("surname"), "sex", "birth", "died", F.coalesce(event, "died").alias("event"),
+        F.lit(False).alias("adult"), (c("path") == "verstorbener").alias("burial"), none.alias("father"), none.alias("mother"), none.alias("spouse"), c("ref").cast("long").alias("ref"),
+    ).withColumnRenamed("died", "death")
+    mentions = materialise(mentions, "mentions")
+    return mentions.select("id", "ref").join(L.link_mentions(mentions, graph.components), "id")
+
+
+@query()
+def linkage_roundtrip(spark, sf_dir):
+    """Precision and recall of linking simulated baptisms and burials, against the references they carry."""
+    return evaluate.pairwise(roundtrip(spark, sf_dir).select("ref", c("identity").alias("ident")))

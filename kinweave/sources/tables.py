@@ -38,7 +38,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, LOOK * 4)).first()[0]
     encoding, delimiter = sniff(bytes(head))
     # A file of one line break a row splits well; quoted line breaks need multiLine, which reads a file in one task.
-    return spark.read.csv(path, sep=delimiter, encoding={"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding], header=True, multiLine=True, nullValue="")
+    rows = spark.read.csv(path, sep=delimiter, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1", header=True, multiLine=True, nullValue="")
+    if encoding != "cp1252":
+        return rows
+    # cp1252 is ISO-8859-1 with letters where that has control characters.
+    own = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    plain, letters = ("".join(x) for x in zip(*[x for x in own if x[1]], strict=True))
+    return rows.select(*[F.translate(f"`{c}`", plain, letters).alias(c.translate(str.maketrans(plain, letters))) for c in rows.columns])
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
