@@ -123,7 +123,9 @@ def _word_pairs(spark, sf_dir) -> DataFrame:
 
 
 _PAIRS = "pr AS (SELECT x.name AS a, y.name AS b FROM nw x JOIN nw y ON x.name[1] = y.name[1] AND x.name < y.name)"
-_SIMILAR = "(lower(a) = lower(b) OR levenshtein(a, b) <= 1 OR (levenshtein(a, b) = 2 AND greatest(length(a), length(b)) >= 7 AND a[1:3] = b[1:3]))"
+#: DuckDB's levenshtein counts bytes, so letters of two bytes are stood for by others.
+_B = "translate(b, 'äöüßéèêçñóí', '0123456789@')"
+_SIMILAR = "(lower(a) = lower(b) OR levenshtein(a, {b}) <= 1 OR (levenshtein(a, {b}) = 2 AND greatest(length(a), length(b)) >= 7 AND a[1:3] = b[1:3]))".replace("{b}", _B)
 
 
 @query(f"WITH nw AS ({_WORDS}), {_PAIRS} SELECT a, b, levenshtein(a, b) AS distance FROM pr")
@@ -285,13 +287,13 @@ def score_exclusion_counts(spark, sf_dir):
     return L.exclusion_counts(scored(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT user_id AS m_id, event_id AS c_id, (value * 3)::INT AS points, event_type = 'purchase' AS anchor FROM events WHERE (value * 3)::INT >= 100),
+@query("""WITH s AS (SELECT user_id AS m_id, event_id AS c_id, floor(value * 3)::INT AS points, event_type = 'purchase' AS anchor FROM events WHERE floor(value * 3)::INT >= 100),
 r AS (SELECT *, row_number() OVER w AS nr, lead(points) OVER w AS nxt, count(*) OVER (PARTITION BY m_id) AS n FROM s WINDOW w AS (PARTITION BY m_id ORDER BY points DESC, c_id)),
 a AS (SELECT m_id, string_agg(c_id || ':' || points, ' ' ORDER BY nr) AS alternatives FROM r WHERE nr BETWEEN 2 AND 4 GROUP BY m_id)
 SELECT r.m_id AS user_id, CASE WHEN points - nxt < 30 THEN 'unsicher' WHEN anchor AND (nxt IS NULL OR points - nxt >= 50) THEN 'sicher' ELSE 'wahrscheinlich' END AS stage, points, n AS n_candidates, coalesce(alternatives, '') AS alternatives
 FROM r LEFT JOIN a USING (m_id) WHERE nr = 1""")
 def alternatives_top3(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(c("user_id").alias("m_id"), c("event_id").alias("c_id"), F.round(c("value") * 3).cast("int").alias("points"), (c("event_type") == "purchase").alias("anchor"))
+    e = table(spark, sf_dir, "events").select(c("user_id").alias("m_id"), c("event_id").alias("c_id"), F.floor(c("value") * 3).cast("int").alias("points"), (c("event_type") == "purchase").alias("anchor"))
     out = L.decide(e)
     near = F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["id"], x["points"])), " ")
     return out.select(c("m_id").alias("user_id"), "stage", "points", "n_candidates", near.alias("alternatives"))
@@ -361,10 +363,17 @@ def ancestors_reach(spark, sf_dir):
     return graph.ancestors(edges).groupBy("person_id").agg(F.count("*").alias("n_ancestors"), F.min("ancestor").alias("first"))
 
 
+#: Syllables of different phonetic keys, one for each digit: a customer's number makes a surname.
+_SYLLABLES = ("ba", "ta", "fa", "ga", "la", "ma", "ra", "sa", "xa", "ka")
+
+
 def roundtrip(spark, sf_dir) -> DataFrame:
-    """(id, ref, identity): the register's children baptised and buried by simulation, read in again, and linked."""
+    """(id, ref, identity): the register's children, surnamed after their father's number, baptised and buried by simulation, read in again, and linked."""
     m = register(spark, sf_dir)
-    k = m.p.where("person_id >= 10000000 AND given NOT IN ('', 'unbekannt')")
+    digits = F.split(c("husband").cast("string"), "")
+    surname = F.array_join(F.transform(digits, lambda d: F.element_at(F.array(*map(F.lit, _SYLLABLES)), d.cast("int") + 1)), "")
+    fathers = m.fc.where("pos < 90").join(m.f.where("husband IS NOT NULL"), "family_id").select(c("child").alias("person_id"), F.initcap(surname).alias("father"))
+    k = m.p.where("person_id >= 10000000 AND given NOT IN ('', 'unbekannt')").join(fathers, "person_id").withColumn("surname", c("father")).drop("father")
     buried = k.where("death.y IS NOT NULL")
     baptisms, _, burials = simulate.registers(k, m.f, m.fc.where("pos < 90"))
     entries = []
