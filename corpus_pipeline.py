@@ -13,7 +13,7 @@ from kinweave.llm.common import materialise
 from kinweave.llm.exact_dedup import keep_first
 from kinweave.llm.mixing import mixed
 from kinweave.llm.near_dedup import keep_one
-from kinweave.llm.pieces import Vocabulary, decode, encode
+from kinweave.llm.pieces import Vocabulary, recode
 from kinweave.llm.quality import keep_good
 from kinweave.llm.queries import PIECE_MODEL
 
@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, ids, n_ids, round_trip): each document's pieces, and whether they decode to its very text."""
     vocabulary = Vocabulary.load(PIECE_MODEL)
-    coded = decode(encode(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
+    coded = recode(docs.select("doc_id", "source", "text"), vocabulary)
     return coded.select("doc_id", "source", "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

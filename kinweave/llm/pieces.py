@@ -21,7 +21,9 @@ SPACE_MARK = "▁"
 #: How much worse than the worst piece an unknown character is.
 UNKNOWN_PENALTY = 10.0
 #: Characters up to which a word is remembered; words remembered.
-REMEMBER_CHARS, REMEMBER_WORDS = 40, 400_000
+REMEMBER_CHARS, REMEMBER_WORDS = 40, 100_000
+#: Rows of one batch that a task gives back.
+ROWS = 256
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Vocabulary:
 
 
 class Codec:
-    """Encodes and decodes texts; texts are led by a space mark, and spaces become space marks."""
+    """Encodes texts; they are led by a space mark, and spaces become space marks."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -107,19 +109,17 @@ class Codec:
             return np.zeros(0, np.int32)
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(SPACE_MARK + text.replace(" ", SPACE_MARK)))), np.int32)
 
-    def decode(self, ids) -> str:
-        """The text of ids: pieces put together, bytes read as UTF-8, space marks as spaces, without the leading one."""
-        v, byte_of = self.vocabulary, self.byte_of
-        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else self.texts[i] for i in ids if i not in v.special)
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
 
-    @property
-    def byte_of(self) -> dict[int, int]:
-        if not hasattr(self, "_byte_of"):
-            self._byte_of = {i: b for b, i in enumerate(self.vocabulary.byte_ids)}
-            self.texts = [p.replace(SPACE_MARK, " ").encode() for p in self.vocabulary.pieces]
-        return self._byte_of
+class Decoder:
+    """Decodes ids: pieces put together, bytes read as UTF-8, space marks as spaces, without the leading one."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        v = vocabulary
+        byte_of = {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
+        self.texts = [byte_of.get(i, b"" if i in v.special else p.replace(SPACE_MARK, " ").encode()) for i, p in enumerate(v.pieces)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.texts.__getitem__, ids.tolist())).removeprefix(b" ").decode("utf-8", "replace")
 
 
 class _Remembered(dict):
@@ -138,60 +138,83 @@ class _Remembered(dict):
         return ids
 
 
-_codecs: dict = {}
+_made: dict = {}
 
 
-def _codec(key: str, vocabulary) -> Codec:
-    """One codec for each vocabulary in a Python worker, kept from task to task."""
-    if key not in _codecs:
-        _codecs[key] = Codec(vocabulary.value)
-    return _codecs[key]
+def _made_once(kind: type, key: str, vocabulary):
+    """One codec or decoder for each vocabulary in a Python worker, kept from task to task."""
+    if (kind, key) not in _made:
+        _made[kind, key] = kind(vocabulary.value)
+    return _made[kind, key]
 
 
 def _sent(spark: SparkSession, vocabulary: Vocabulary):
     return f"{len(vocabulary.pieces)}-{hash((tuple(vocabulary.pieces), tuple(vocabulary.scores)))}", spark.sparkContext.broadcast(vocabulary)
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32) for x in lists]
+
+
+def _mapped(df: DataFrame, new: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with new columns, in place of any of their names, that ``make`` gives for a few rows at a time."""
+    kept = [c for c in df.columns if c not in new]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*(rows[c] for c in kept), *work(rows)], [*kept, *new])
+
+    fields = {f.name: f for f in df.schema.fields}
+    return df.mapInArrow(run, T.StructType([*(fields[c] for c in kept), *(T.StructField(n, t) for n, t in new.items())]))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array of int): the pieces of each whole text.
 
     Null and empty texts have no ids. Everything else is encoded exactly: with byte pieces in the
-    model, :func:`decode` gives each text back. All other columns and repeated rows are passed
-    through; a column of the name ``ids`` is replaced. An empty table gives an empty result.
+    model, :func:`decode` gives each text back (but for the space mark itself, U+2581, which the format
+    reads as a space). All other columns and repeated rows are passed through; a column of the name
+    ``ids`` is replaced. An empty table gives an empty result.
     """
     key, sent = _sent(docs.sparkSession, vocabulary)
 
-    def run(batches):
-        codec = _codec(key, sent)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
-                found = [codec.encode(t) for t in rows[text].to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                values = pa.array(np.concatenate(found)) if found else pa.array([], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(rows[c] for c in kept), pa.ListArray.from_arrays(pa.array(offsets), values)], [*kept, ids])
+    def make():
+        codec = _made_once(Codec, key, sent)
+        return lambda rows: [_lists([codec.encode(t) for t in rows[text].to_pylist()])]
 
-    kept = [c for c in docs.columns if c != ids]
-    base = docs.select(*[f"`{c}`" for c in kept])
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return _mapped(docs, {ids: T.ArrayType(T.IntegerType())}, make)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the column ``text``: what the ids stand for; null and empty ids give an empty text."""
     key, sent = _sent(rows.sparkSession, vocabulary)
 
-    def run(batches):
-        codec = _codec(key, sent)
-        byte_of, special = codec.byte_of, vocabulary_special
-        as_bytes = [bytes([byte_of[i]]) if i in byte_of else b"" if i in special else t for i, t in enumerate(codec.texts)]
-        for batch in batches:
-            found = []
-            for values in batch[ids]:
-                raw = b"".join(map(as_bytes.__getitem__, values.values.to_numpy(zero_copy_only=False).tolist())) if values.is_valid else b""
-                found.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found, pa.string())], [*kept, text])
-
-    vocabulary_special = vocabulary.special
-    kept = [c for c in rows.columns if c != text]
-    base = rows.select(*[f"`{c}`" for c in kept])
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text, T.StringType())]))
+    def make():
+        decoder = _made_once(Decoder, key, sent)
+        return lambda batch: [pa.array([decoder.decode(x) for x in _arrays(batch[ids])], pa.string())]
+
+    return _mapped(rows, {text: T.StringType()}, make)
+
+
+def recode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass over the rows, so that texts go to Python once."""
+    key, sent = _sent(docs.sparkSession, vocabulary)
+
+    def make():
+        codec, decoder = _made_once(Codec, key, sent), _made_once(Decoder, key, sent)
+
+        def work(rows):
+            found = [codec.encode(t) for t in rows[text].to_pylist()]
+            return [_lists(found), pa.array([decoder.decode(x) for x in found], pa.string())]
+
+        return work
+
+    return _mapped(docs, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, make)

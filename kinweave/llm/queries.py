@@ -13,7 +13,7 @@ from .exact_dedup import exact_dedup, normalised
 from .licences import scan_licences
 from .mixing import mix
 from .near_dedup import jaccard_classes
-from .pieces import Vocabulary, decode, encode
+from .pieces import Vocabulary, recode
 from .quality import score_quality
 from .secrets import scan_secrets
 from .sharding import external_shuffle, record_size
@@ -41,7 +41,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, and whether they decode to the very text."""
     vocabulary = Vocabulary.load(PIECE_MODEL)
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    coded = recode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == text_of()).alias("round_trip"))
 
 

@@ -200,6 +200,9 @@ def test_codec_round_trip(spark, docs, empty, vocabulary):
     assert len(out) == len(rows_of()) and all(r.decoded == (r.text or "") for r in out)
     assert all(r["ids"] == [] for r in out if not r.text)
     assert pieces.decode(pieces.encode(empty, vocabulary), vocabulary).count() == 0
+    once = pieces.recode(clashing(docs), vocabulary).collect()
+    assert Counter((r.doc_id, tuple(r["ids"]), r.decoded) for r in once) == Counter((r.doc_id, tuple(r["ids"]), r.decoded) for r in out)
+    assert pieces.recode(empty, vocabulary).count() == 0
     odd = ["\x00", "a\r\nb", "  ", " führend", "nachher ", "\u2028", "𝔘𝔫𝔦", "x" * 100_000]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     assert [r.decoded for r in pieces.decode(pieces.encode(df, vocabulary), vocabulary).orderBy("doc_id").collect()] == odd
