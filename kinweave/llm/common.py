@@ -37,5 +37,11 @@ def label_of(labels: DataFrame, column: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, key: Column, rows: int) -> list:
-    """At most ``rows`` rows, those of the smallest hashes of ``key``, on the driver: a training sample."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows).collect()
+    """At most ``rows`` rows on the driver, a training sample: those of the smallest hashes of ``key``.
+
+    The share that fits is taken by hash where the rows are, so that no more than the sample travels.
+    """
+    n, place = df.count(), F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if n > rows:
+        df = df.where(place < int(rows / n * (1 << 40)))
+    return sorted(df.withColumn("_place", place).collect(), key=lambda r: (r["_place"], repr(r)))[:rows]
