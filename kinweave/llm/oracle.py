@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from .licences import PHRASES, TEMPLATES
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_exact_dedup"] = r"""
@@ -96,3 +100,39 @@ fit AS (
 SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM o JOIN bound USING (host) LEFT JOIN fit USING (page_id)
 """
+
+
+def _template_regex(markup: str) -> str:
+    """A template as a regular expression over words that a blank follows each."""
+    out = []
+    for token in re.split(r"(<<[^>]*>>)", markup):
+        if token.startswith("<<begin"):
+            out.append("(?:")
+        elif token.startswith("<<end"):
+            out.append(")?")
+        elif token.startswith("<<var"):
+            match = re.search(r'match="([^"]*)"', token)[1]
+            out.append(r"(?:[^ ]+ ){1,12}" if match == ".+" else f"(?:{match}) ")
+        else:
+            out += [w + " " for w in re.findall(r"[a-z0-9]+", token.lower())]
+    return "(?:^| )" + "".join(out)
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    at = " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))
+    return f"list_filter(range(0, len(w)), lambda i: {at})"
+
+
+_LABELS = ", ".join(f"CASE WHEN regexp_matches(joined, '{_template_regex(m)}') THEN '{label}' END" for label, m in TEMPLATES)
+_BASE = ", ".join(f"CASE WHEN len({_places(p)}) > 0 THEN '{label}' END" for p, label in PHRASES)
+_distinct = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
+
+ORACLE["op10_licence_templates"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, array_to_string(w, ' ') || ' ' AS joined, {' || '.join(_places(p) for p, _ in PHRASES)} AS places FROM d),
+q AS (SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, [{_BASE}] AS base, [{_LABELS}] AS found FROM p)
+SELECT doc_id, n_words, n_base, first_word, last_word, {_distinct.format('base')} AS base_labels, {_distinct.format('list_concat(base, found)')} AS labels,
+       CASE WHEN len(list_filter(found, lambda x: x IS NOT NULL)) > 0 THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM q
+"""
