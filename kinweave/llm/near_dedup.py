@@ -29,8 +29,8 @@ SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 HASHES, ROWS, STEP = 160, 5, 32
 #: Posterior chance below which a pair is dropped.
 TOLERANCE = 1e-9
-#: Classes, and bytes of text, in one block of a group.
-BLOCK_ROWS, BLOCK_BYTES = 1000, 8 << 20
+#: Classes, and bytes of text, in one block of a group; pairs of two blocks that are compared at a time.
+BLOCK_ROWS, BLOCK_BYTES, PAIRS = 1000, 4 << 20, 1 << 15
 
 _words = re.compile(WORD).findall
 
@@ -50,7 +50,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -122,15 +122,20 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n + 1
 
 
-def _shingle_sets(texts: list[str], n: int) -> list[frozenset]:
-    """The texts' shingles as sets of numbers that are exact within these texts."""
-    seen: dict = {}
-    out = []
-    for text in texts:
-        words = _words(text)
-        width = min(n, len(words))
-        out.append(frozenset(seen.setdefault(s, len(seen)) for s in zip(*(words[i:] for i in range(width)), strict=False)))
-    return out
+def _shingle_set(text: str, n: int, seen: dict) -> frozenset:
+    """The text's shingles as numbers that are exact among the texts that share ``seen``."""
+    words = _words(text)
+    width = min(n, len(words))
+    return frozenset(seen.setdefault(s, len(seen)) for s in zip(*(words[i:] for i in range(width)), strict=False))
+
+
+def _compared(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, steps: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The pairs that are left after all steps; ``m`` has the equal values of the first one."""
+    for n, least in steps[1:]:
+        m = m + (sigs[x, n - STEP : n] == sigs[y, n - STEP : n]).sum(axis=1)
+        keep = m >= least
+        m, x, y = m[keep], x[keep], y[keep]
+    return x.tolist(), y.tolist()
 
 
 def _verifier(threshold: Fraction, tolerance: float, shingle: int):
@@ -152,33 +157,33 @@ def _verifier(threshold: Fraction, tolerance: float, shingle: int):
         if left == right:
             stays = np.triu(stays, 1)
         x, y = np.nonzero(stays)
-        m, x, y = matches[x, y].astype(np.int64), first[x], second[y]
-        for (_, _), (n, least) in zip(steps, steps[1:], strict=False):
-            m = m + (sigs[x, n - STEP : n] == sigs[y, n - STEP : n]).sum(axis=1)
-            keep = m >= least
-            m, x, y = m[keep], x[keep], y[keep]
         lower = [frozenset(v for v in ls if v < leader) for ls in table["leaders"].to_pylist()]
-        involved = np.unique(np.concatenate((x, y)))
-        texts = table["text"]
-        sets = dict(zip(involved.tolist(), _shingle_sets([texts[i].as_py() for i in involved.tolist()], shingle), strict=True))
+        texts, seen, sets = table["text"], {}, {}
         num, den = threshold.numerator, threshold.denominator
         links, roots = np.zeros(len(cids), np.int64), list(range(len(cids)))
 
+        def shingles(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = _shingle_set(texts[i].as_py(), shingle, seen)
+            return sets[i]
+
         def root(i: int) -> int:
             while roots[i] != i:
                 roots[i] = i = roots[roots[i]]
             return i
 
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            if not lower[i].isdisjoint(lower[j]):
-                continue  # the pair is looked at in the group of a smaller leader
-            a, b = sets[i], sets[j]
-            both = len(a & b)
-            if both * den >= num * (len(a) + len(b) - both):
-                links[i] += sizes[j]
-                links[j] += sizes[i]
-                p, q = sorted((root(i), root(j)), key=cids.__getitem__)
-                roots[q] = p
+        for start in range(0, len(x), PAIRS):
+            i_, j_ = x[start : start + PAIRS], y[start : start + PAIRS]
+            for i, j in zip(*_compared(sigs, first[i_], second[j_], matches[i_, j_].astype(np.int64), steps), strict=True):
+                if not lower[i].isdisjoint(lower[j]):
+                    continue  # the pair is looked at in the group of a smaller leader
+                a, b = shingles(i), shingles(j)
+                both = len(a & b)
+                if both * den >= num * (len(a) + len(b) - both):
+                    links[i] += sizes[j]
+                    links[j] += sizes[i]
+                    p, q = sorted((root(i), root(j)), key=cids.__getitem__)
+                    roots[q] = p
         at = [i for i in range(len(cids)) if links[i]]
         return pa.table({"cid": pa.array(cids[at], pa.int64()), "links": pa.array(links[at], pa.int64()), "root": pa.array([int(cids[root(i)]) for i in at], pa.int64())})
 
