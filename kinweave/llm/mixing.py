@@ -19,7 +19,7 @@ from .common import count_words, text_of
 
 SEED = "mix"
 #: Words in a block; rows, on average, in one stretch of a source's seeded order.
-BLOCK, STRETCH = 64, 20_000
+BLOCK, STRETCH = 64, 4_000
 
 
 def cyclic_weights(sources: list, cycle: tuple = (5, 2, 1)) -> list:
