@@ -28,6 +28,21 @@ def mixed_and_splintered(links: DataFrame) -> DataFrame:
     return several("ident", "ref", "mixed").union(several("ref", "ident", "splintered"))
 
 
+def several_members(links: DataFrame) -> DataFrame:
+    """kind, id, member: a row for each reference of an identity that has several (mixed), and for each identity of a reference that has several (splintered).
+
+    Pairs are distinct and stay rows: no group meets in one task, however many members it has. A null member counts for nothing; a null key is a key.
+    """
+    pairs = links.select("ref", "ident").distinct()
+
+    def several(key: str, of: str, kind: str) -> DataFrame:
+        members = pairs.where(c(of).isNotNull())
+        keys = members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(c(key).alias("id"))
+        return members.join(keys, c(key).eqNullSafe(c("id"))).select(F.lit(kind).alias("kind"), "id", c(of).alias("member"))
+
+    return several("ident", "ref", "mixed").union(several("ref", "ident", "splintered"))
+
+
 def set_metrics(truth: DataFrame, found: DataFrame) -> DataFrame:
     """n_truth, n_found, n_both, n_missing, n_extra of two sets of rows, in one grouping."""
     both = truth.distinct().withColumns({"t": F.lit(1), "f": F.lit(0)}).union(found.distinct().withColumns({"t": F.lit(0), "f": F.lit(1)}))

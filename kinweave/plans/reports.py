@@ -52,6 +52,12 @@ def mixed_splintered(spark, sf_dir):
     return E.mixed_and_splintered(links).withColumn("id", c("id").cast("long"))
 
 
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS ref, l_suppkey AS ident FROM lineitem)
+SELECT 'mixed' AS kind, ident AS id, ref AS member FROM p QUALIFY count(*) OVER (PARTITION BY ident) > 1 UNION ALL SELECT 'splintered', ref, ident FROM p QUALIFY count(*) OVER (PARTITION BY ref) > 1""")
+def mixed_splintered_members(spark, sf_dir):
+    return E.several_members(_links(spark, sf_dir))
+
+
 @query("""WITH t AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 40 AS b FROM orders WHERE o_orderkey % 3 > 0), f AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 40 AS b FROM orders WHERE o_orderkey % 4 > 0),
 j AS (SELECT t.a IS NOT NULL AS t, f.a IS NOT NULL AS f FROM t FULL JOIN f ON t.a = f.a AND t.b = f.b)
 SELECT count(*) FILTER (t) AS n_truth, count(*) FILTER (f) AS n_found, count(*) FILTER (t AND f) AS n_both, count(*) FILTER (t AND NOT f) AS n_missing, count(*) FILTER (f AND NOT t) AS n_extra FROM j""")
