@@ -95,9 +95,18 @@ def sample_strata(families: DataFrame, strata: list[tuple[str, object, int]], se
     return drawn.where(c("nr") <= F.element_at(most, c("stratum"))).select("family_id", "stratum")
 
 
+def first_of_year(entries: DataFrame, k: int) -> DataFrame:
+    """The k entries (key, year, entry_id) of the smallest ids of each key and year."""
+    w = Window.partitionBy("key", "year").orderBy("entry_id")
+    return entries.withColumn("nr", F.row_number().over(w)).where(c("nr") <= k).drop("nr")
+
+
 def nearest_candidates(families: DataFrame, entries: DataFrame, k: int = 4) -> DataFrame:
-    """(family_id, entry_id, nr): for each family the k entries of its key that are nearest to the middle of its years, of those within them."""
-    met = families.join(entries, "key").where(c("year").between(c("from_year"), c("to_year")))
+    """(family_id, entry_id, nr): for each family the k entries of its key that are nearest to the middle of its years, of those within them.
+
+    Entries of one key and year are equally near, so only the first k of them can be among a family's: the others never meet it.
+    """
+    met = families.join(first_of_year(entries, k), "key").where(c("year").between(c("from_year"), c("to_year")))
     off = F.abs(c("year") * 2 - c("from_year") - c("to_year"))
     w = Window.partitionBy("family_id").orderBy(off, "entry_id")
     return met.withColumn("nr", F.row_number().over(w)).where(c("nr") <= k).select("family_id", "entry_id", "nr")

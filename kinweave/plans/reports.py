@@ -123,6 +123,14 @@ def sample_top4_candidates(spark, sf_dir):
     return E.nearest_candidates(f, e)
 
 
+@query("""WITH f AS (SELECT c_custkey AS family_id, c_custkey % 50 AS key, 1995 + c_custkey % 3 AS a, 1998 + c_custkey % 4 AS b FROM customer), e AS (SELECT o_orderkey AS entry_id, o_custkey % 50 AS key, year(o_orderdate) AS y FROM orders)
+SELECT family_id, entry_id, row_number() OVER w AS nr FROM f JOIN e USING (key) WHERE y BETWEEN a AND b WINDOW w AS (PARTITION BY family_id ORDER BY abs(2 * y - a - b), entry_id) QUALIFY row_number() OVER w <= 4""")
+def sample_top4_all_entries(spark, sf_dir):
+    k = c("c_custkey")
+    f = table(spark, sf_dir, "customer").select(k.alias("family_id"), (k % 50).alias("key"), (k % 3 + 1995).alias("from_year"), (k % 4 + 1998).alias("to_year"))
+    return E.nearest_candidates(f, table(spark, sf_dir, "orders").select(c("o_orderkey").alias("entry_id"), (c("o_custkey") % 50).alias("key"), F.year("o_orderdate").alias("year")))
+
+
 _LO2, _HI2 = _wilson("r", "(r + w)")
 
 
