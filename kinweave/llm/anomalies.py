@@ -1,9 +1,9 @@
 """Quality rules with an isolation forest over their statistics.
 
-Each rule measures one thing of a whole text. Two base rules reject by themselves. For all others an
-isolation forest is grown over a bounded sample: random splits part an unusual text from the rest
-after few steps, so that its mean path is short. How short is too short is calibrated on labelled
-rows.
+Each rule measures one thing of a whole text. Two base rules reject by themselves. For all others
+isolation forests are grown over a bounded sample: random splits part an unusual text from the rest
+after few steps, so that its mean path is short. How short is too short is calibrated on all
+labelled rows.
 """
 
 from __future__ import annotations
@@ -73,10 +73,15 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+#: The columns of :func:`features` that share a forest. In a single forest the three that hardly part good rows from bad ones dilute the paths of the two that do.
+VIEWS = ((0, 1), (2,), (3,), (4,))
+
+
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's view: mean length of a word, and symbols by word on a log scale; the two other counts have a base rule or are too rare."""
+    """The forests' view of all counts: mean length of a word; symbols, repeated lines and words in repeated windows by word, and words, on a log scale."""
     n = np.maximum(counts["n_words"], 1).astype(float)
-    return np.column_stack((counts["word_chars"] / n, np.log1p(10 * counts["n_symbols"] / n)))
+    by_word = [np.log1p(10 * counts[c] / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]
+    return np.column_stack((counts["word_chars"] / n, *by_word, np.log1p(counts["n_words"])))
 
 
 def mean_path(n: float) -> float:
@@ -136,23 +141,45 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(mean_path(self.drawn), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
-    """A threshold that calls at most the share ``lost`` of the good rows anomalous, and most of the others."""
-    if not good.any():
-        return 1.0
-    allowed = np.sort(scores[good])[::-1][int(lost * good.sum())]
-    bad = scores[~good]
-    caught = bad[bad > allowed]
-    # Between the highest good row that must stay and the lowest bad row caught there is room: take the middle.
-    return float((allowed + caught.min()) / 2) if len(caught) else float(allowed)
+#: Bins of an anomaly from 0 to 1 in which labelled rows are counted.
+BINS = 1 << 16
+
+
+def calibrate(marked: DataFrame, lost: float = LOST) -> list[float]:
+    """For each view a threshold that calls at most the share ``lost`` / views of the good rows anomalous, and most of the others.
+
+    ``marked`` has anomalies (array) and label, a row for each labelled text. All of them count; only bins reach the driver.
+    """
+    each = marked.select((F.col("label") == 1).alias("good"), F.posexplode("anomalies").alias("view", "a"))
+    bins = each.groupBy("view", F.floor(F.col("a") * BINS).alias("bin"), "good").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high")).collect()
+    out = []
+    for view in range(len(VIEWS)):
+        own = sorted((r for r in bins if r["view"] == view), key=lambda r: -r["bin"])
+        good = [r for r in own if r["good"]]
+        if not good:
+            out.append(1.0)
+            continue
+        may_go, above = int(lost / len(VIEWS) * sum(r["n"] for r in good)), 0
+        for r in good:
+            above += r["n"]
+            if above > may_go:
+                break
+        allowed = r["high"]
+        caught = [x["low"] for x in own if not x["good"] and x["low"] > allowed]
+        # Between the highest good row that must stay and the lowest bad row caught there is room: take the middle.
+        near = any(not x["good"] and x["low"] <= allowed < x["high"] for x in own)
+        out.append(allowed if near or not caught else (allowed + min(caught)) / 2)
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, counts, base_failed, anomaly, kept), one row for each row of ``docs`` (doc_id, text).
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept is false for
-    those, and for texts whose anomaly is above the calibrated threshold. The forest is grown, and its
-    threshold calibrated, on at most ``sample`` labelled rows of both kinds that pass the base rules.
+    those, and for texts whose anomaly in one of :data:`VIEWS` is above its calibrated threshold.
+    anomaly is the largest of the views', with paths stretched so that each threshold is at 0.5. The
+    forests are grown on at most ``sample`` labelled rows of both kinds that pass the base rules; the
+    thresholds are calibrated on all of those.
 
     Null texts count as empty and fail. Null labels count for nothing; without labelled rows only
     the base rules judge. A null doc_id is judged like any other, repeated rows alike; an empty
@@ -160,18 +187,24 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = materialise(rule_statistics(docs).withColumn("base_failed", base), "rules")
-    seen = bounded(rows.where("NOT base_failed").join(label_of(labels, "quality"), "doc_id"), F.col("doc_id"), sample)
-    x = features({c: np.array([r[c] for r in seen], float) for c in COUNTS}) if seen else np.zeros((0, 2))
-    good = np.array([r["label"] == 1 for r in seen], bool)
-    if not good.any():
+    labelled = lambda df: df.where("NOT base_failed").join(label_of(labels, "quality"), "doc_id")
+    seen = bounded(labelled(rows), F.col("doc_id"), sample)
+    if not any(r["label"] == 1 for r in seen):
         return rows.withColumns({"anomaly": F.lit(0.0), "kept": ~F.col("base_failed")})
-    forest = IsolationForest.grow(x)
-    threshold = calibrate(forest.anomaly(x), good)
+    x = features({c: np.array([r[c] for r in seen], float) for c in COUNTS})
+    forests = [IsolationForest.grow(x[:, view]) for view in VIEWS]
 
     def run(batches):
         for batch in batches:
-            counts = {c: batch[c].to_numpy() for c in COUNTS}
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.anomaly(features(counts)))], [*batch.schema.names, "anomaly"])
-
-    scored = rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", anomaly double")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold))
+            x = features({c: batch[c].to_numpy() for c in COUNTS})
+            found = np.column_stack([f.anomaly(x[:, view]) for f, view in zip(forests, VIEWS, strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.float64()))], [*batch.schema.names, "anomalies"])
+
+    scored = materialise(rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", anomalies array<double>"), "anomalies")
+    thresholds = calibrate(labelled(scored))
+    usual, stretched = ~F.col("base_failed"), []
+    for view, most in enumerate(thresholds):
+        own = F.get("anomalies", F.lit(view))
+        usual &= own <= most
+        stretched.append(F.pow(own, F.lit(float(np.log(0.5) / np.log(min(most, 1 - 1e-9))))))
+    return scored.withColumns({"anomaly": F.greatest(*stretched), "kept": usual}).drop("anomalies")

@@ -296,6 +296,36 @@ def test_isolation_forest_calibrated(spark, docs, empty):
     assert all(r.kept != r.base_failed for r in anomalies.judge(df, none).collect()) and anomalies.judge(empty, none).count() == 0
 
 
+def test_all_statistics_reach_the_verdict(spark):
+    rng = random.Random(12)
+    clean = lambda n: ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+    def lines(i):  # some good texts repeat a line, none often
+        ws = clean(rng.randint(50, 70))
+        return " ".join(ws[:20]) + f"\nkurz\n{'kurz' if i % 25 == 0 else ws[40]}\n" + " ".join(ws[20:])
+
+    often = lambda: "\n".join(" ".join(clean(3)) + "\nja nein" for _ in range(13))
+    window = clean(8)
+    copied = lambda: " ".join(window + clean(42) + window)
+    rows = [(i, lines(i)) for i in range(300)] + [(1000 + i, often()) for i in range(10)] + [(2000 + i, copied()) for i in range(10)] + [(3000, " ".join(clean(30_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    out = {r.doc_id: r for r in anomalies.judge(df, labels).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert all(out[i].kept for i in range(300)) and not any(r.kept for i, r in out.items() if i >= 1000)
+    assert all((r.anomaly > 0.5) != r.kept for i, r in out.items() if i >= 1000)
+
+
+def test_thresholds_count_all_labelled_rows(spark):
+    rng = random.Random(13)
+    good = [[rng.random() * 0.6 for _ in anomalies.VIEWS] for _ in range(9000)]
+    bad = [[0.7] * len(anomalies.VIEWS)] * 5
+    marked = spark.createDataFrame([(x, 1.0) for x in good] + [(x, 0.0) for x in bad], "anomalies array<double>, label double")
+    for view, most in enumerate(anomalies.calibrate(marked)):
+        above = sum(x[view] > most for x in good)
+        assert above <= 2 and sorted(x[view] for x in good)[-3] <= most < 0.7
+
+
 # ---- urls
 
 PAGES = "page_id long, url string, html string"
