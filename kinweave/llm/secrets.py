@@ -1,6 +1,7 @@
 """Secret scans: candidates by their shape, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit in it. A forest trained from labelled findings
+A candidate is a run of key characters with a digit in it, a value assigned to a password or token, or a
+private key's block. A forest trained from labelled findings
 judges its length, the changes between kinds of characters, how much of it the corpus' own words
 cover, whether it stands in a path, and the words beside it. All that touches the texts is DataFrame
 code; the forest learns from a bounded sample and is compiled into an expression.
@@ -21,7 +22,25 @@ from .trees import forest_sql, random_forest
 KEY = "A-Za-z0-9+/_-"
 #: Characters of a candidate at least. A run is tried from its first character only, so that a long one costs no more than its length.
 SHORTEST = 12
-CANDIDATE = rf"(?<![{KEY}])(?=[{KEY}]{{{SHORTEST}}})[A-Za-z+/_-]*+[0-9][{KEY}]*+"
+RUN = rf"(?<![{KEY}])(?=[{KEY}]{{{SHORTEST}}})[A-Za-z+/_-]*+[0-9][{KEY}]*+"
+#: Names whose assigned values are candidates of whatever characters, and characters of such a value at least.
+NAMES, SHORTEST_VALUE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey"), 4
+
+
+def _assigned() -> str:
+    """Values assigned to a name, whole if quoted, else up to white space or a quote."""
+    kinds = []
+    for quote, inside in (('"', r'[^"\x00-\x1F]'), ("'", r"[^'\x00-\x1F]"), ("", r"""[^"'\x00-\x20]""")):
+        seps = [f"{left}[=:]{gap}{quote}" for left in ("", " ", "[\"']") for gap in ("", " ")]
+        behind = "|".join(f"(?<=(?i:{name}){sep})" for name in NAMES for sep in seps)  # lookbehinds of one width each, for both engines
+        kinds.append(f"(?:(?<=[=:]{quote})|(?<=[=:] {quote}))(?:{behind}){inside}{{{SHORTEST_VALUE},}}+")
+    return "|".join(kinds)
+
+
+_BODY = r"[A-Za-z0-9+/=:,\x20\x09-\x0D]*+"
+#: A private key's block, or its first line alone if it is cut off.
+BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:{_BODY}(?:-(?!-){_BODY}){{0,20}}-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)?+"
+CANDIDATE = f"{BLOCK}|{_assigned()}|{RUN}"
 #: Characters kept of what stands before and after a candidate.
 BESIDE = 48
 #: Documents that must have a word before it counts as one of the dictionary.
@@ -107,18 +126,30 @@ def _weight_of(weights: dict[str, float]) -> Column:
     return sum((F.coalesce(F.try_element_at(table, F.col(w)), F.lit(0.0)) for w in ("word1", "word2", "word3")), F.lit(0.0))
 
 
+#: Published formats of keys.
+FORMATS = (
+    "(AKIA|ASIA)[0-9A-Z]{16}$", "gh[pousr]_[A-Za-z0-9]{20,}", "github_pat_[A-Za-z0-9_]{20,}", "[spr]k_(live|test)_[A-Za-z0-9]{10,}", "xox[abeprs]-[A-Za-z0-9-]{10,}", "glpat-[A-Za-z0-9_-]{16,}",
+    "AIza[A-Za-z0-9_-]{35}$", "npm_[A-Za-z0-9]{36}$", "hf_[A-Za-z0-9]{30,}", "sk-[A-Za-z0-9_-]{20,}", "eyJ[A-Za-z0-9_-]{16,}", "-----BEGIN ",
+)
+
+
 def known_formats() -> Column:
-    """The label of a finding by published formats: 1 for an access key id, or a value assigned to a token or password; else 0."""
-    key = F.regexp_like("candidate", F.lit("^AKIA[0-9A-Z]{16}$"))
-    named = F.regexp_like("before", F.lit(r"(?i)(token|password|passwd|secret|api_?key)\s*[=:]\s*[\"']?$"))
-    return (key | (named & F.regexp_like("candidate", F.lit("^[0-9A-Za-z+/_-]{16,}$")))).cast("int")
+    """The label of a finding: 1 for a published format or a value assigned to a name or borne as a token, 0 for numbers, dates, words and paths, null for all others."""
+    like = lambda p, of="candidate": F.regexp_like(F.col(of), F.lit(p))
+    key = like("^(" + "|".join(FORMATS) + ")")
+    named = like(rf"(?i)({'|'.join(NAMES)}|api-key)[\"']?\s*[=:]\s*[\"']?$", "before") & ~like("^[A-Za-z]+[.,;:!?)]*$")
+    bearer = like(r"(?i)\bbearer\s+$", "before") & like(rf"^[{KEY}]{{16,}}")
+    part = "(([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,4})"
+    words = F.regexp_like(F.left("candidate", F.lit(200)), F.lit(f"^{part}([+/_-]+{part})*[+/_-]*$"))
+    path = like("^/|/$") | like(r"[/\\]$", "before") | like(r"^\.[a-z]{1,4}\b", "after")
+    return F.when(key | named | bearer, 1).when(like("^[0-9+/_-]+$") | words | path, 0)
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, start, stop, candidate, word1, word2, word3, features, held_out, score, is_secret), one row for each candidate.
 
     ``labelled`` has (doc_id, start, label) of findings that people have judged; without it, findings
-    are labelled by published formats. Findings in held-out documents are never learnt from. score is
+    are labelled by published formats and clear non-secrets, and the rest is only judged. Findings in held-out documents are never learnt from. score is
     the forest's mean and is_secret is true from 0.5.
 
     Null texts have no candidates; nulls in ``labelled`` count for nothing. With no labelled findings
@@ -132,7 +163,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int
         marked = rows.withColumn("label", known_formats())
     else:
         marked = rows.join(labelled.where("label IS NOT NULL").groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"])
-    seen = bounded(marked.where("NOT held_out"), F.col("cand"), sample)
+    seen = bounded(marked.where("NOT held_out AND label IS NOT NULL"), F.col("cand"), sample)
     weights = neighbour_weights(seen)
     own = [f for f in FEATURES if f != "s_neighbours"]
     score = F.lit(1.0)
