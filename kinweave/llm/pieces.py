@@ -10,6 +10,7 @@ piece is longer.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 SPACE_MARK = "▁"
 #: How much worse than the worst piece an unknown character is.
 UNKNOWN_PENALTY = 10.0
-#: Characters up to which a word is remembered; words remembered.
-REMEMBER_CHARS, REMEMBER_WORDS = 40, 100_000
+#: Characters up to which a word is remembered; words remembered in each of two generations (about 100 MB in all).
+REMEMBER_CHARS, REMEMBER_WORDS = 40, 200_000
 #: Rows of one batch that a task gives back.
 ROWS = 256
 
@@ -73,33 +74,47 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """The ids of the best segmentation of a marked text."""
+        if not self.single.issuperset(text):
+            return self._viterbi_with_unknown(text)
+        n = len(text)
+        best = [-1e30] * n + [0.0]  # of the text up to and with each character; index -1 is the place before the first
+        back: list = [None] * n
+        for end, match in self.automaton.iter(text):
+            total = best[end - match[0]] + match[1]
+            if total > best[end]:
+                best[end], back[end] = total, match
+        out, at = [], n - 1
+        while at >= 0:
+            size, _, i = back[at]
+            out.append(i)
+            at -= size
+        out.reverse()
+        return out
+
+    def _viterbi_with_unknown(self, text: str) -> list[int]:
+        """The same where a character may be no piece: an unknown step competes with the pieces that end there."""
         n, v = len(text), self.vocabulary
-        best = [0.0] + [-1e30] * n
-        back: list = [None] * (n + 1)
+        best = [-1e30] * n + [0.0]
+        back: list = [None] * n
+        step = (1, self.unknown_score, v.unknown)
         ends = self.automaton.iter(text)
-        at, match = 0, next(ends, None)
-        while at < n:
-            end, score, how = at + 1, -1e30, None
-            while match is not None and match[0] == at:
-                size, gain, i = match[1]
-                total = best[end - size] + gain
-                if total > score:
-                    score, how = total, (size, i)
-                match = next(ends, None)
-            if text[at] not in self.single:
-                total = best[at] + self.unknown_score
-                if total > score:
-                    score, how = total, (1, v.unknown)
-            best[end], back[end] = score, how
-            at = end
-        out: list[int] = []
-        while n:
-            size, i = back[n]
+        end, match = next(ends, (n, None))
+        for at, char in enumerate(text):
+            while end == at:
+                total = best[at - match[0]] + match[1]
+                if total > best[at]:
+                    best[at], back[at] = total, match
+                end, match = next(ends, (n, None))
+            if char not in self.single and best[at - 1] + self.unknown_score > best[at]:
+                best[at], back[at] = best[at - 1] + self.unknown_score, step
+        out, at = [], n - 1
+        while at >= 0:
+            size, _, i = back[at]
             if i == v.unknown and v.byte_ids:
-                out += [v.byte_ids[b] for b in reversed(text[n - size : n].encode("utf-8", "surrogatepass"))]
+                out += [v.byte_ids[b] for b in reversed(text[at].encode("utf-8", "surrogatepass"))]
             else:
                 out.append(i)
-            n -= size
+            at -= size
         out.reverse()
         return out
 
@@ -123,16 +138,19 @@ class Decoder:
 
 
 class _Remembered(dict):
-    """Marked word to the bytes of its ids, remembered up to a bound."""
+    """Marked word to the bytes of its ids. Once full, it starts again and takes from the generation before it what is asked for."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.codec.viterbi(word), np.int32).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("i", self.codec.viterbi(word)).tobytes()
         if len(word) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
