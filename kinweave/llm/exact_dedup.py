@@ -31,48 +31,67 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "row"))
 
 
-def exact_dedup(docs: DataFrame, keep_text: bool = True, first: int = FIRST, second: int = SECOND, wider: int = WIDER) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text and any others) with keep_id, group_size and kept.
-
-    Texts are equal when identical after deleting white space. Of equal texts the row with the most
-    code points in its original text stays, then the smallest doc_id; keep_id is its doc_id.
-
-    Null texts count as empty, and all empty or blank texts are one group. A null doc_id comes after
-    all others. Of repeated rows (same doc_id and text) exactly one is kept. An empty table gives an
-    empty result. Further columns are passed through, packed into one, so that their names clash
-    with none used within. Without ``keep_text`` the text comes back as null, which spares writing
-    the texts of the groups that are ready.
-    """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+def _deduped(docs: DataFrame, others: Column, keep_text: bool, first: int, second: int, wider: int) -> DataFrame:
+    """(doc_id, text, others, keep_id, group_size, kept) of all rows of ``docs``."""
     norm = normalised(text_of()).cast("binary")
 
     def left(done: Column) -> Column:
         return F.col("text") if keep_text else F.when(~done, F.col("text")).alias("text")
 
+    def split(rows: DataFrame, by: list[str], *best: Column) -> DataFrame:
+        """``rows`` with n, and ``best``, of their group; null in a group of one row.
+
+        Only groups of two rows or more are written, and the rows meet that table: a join of nothing but
+        the rows and a table, which adaptive execution can broadcast if it is small, and split where a group is large.
+        """
+        groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *best).where("n > 1")
+        return rows.join(materialise(groups, "groups"), by, "left")
+
     # Round 0: most texts differ in length or in their first bytes and leave here.
-    rows = docs.select("doc_id", "text", packed.alias("others")).withColumn("norm", norm)
+    rows = docs.select("doc_id", "text", others.alias("others")).withColumn("norm", norm)
     rows = rows.withColumn("grp", F.concat(F.lpad(F.hex(F.octet_length("norm")), 8, "0").cast("binary"), F.substring("norm", 1, first))).drop("norm")
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    alone = F.col("n") == 1
-    rows = rows.join(sizes, "grp").select("doc_id", left(alone), "others", "grp", "n", F.length(text_of()).alias("points"), F.monotonically_increasing_id().alias("row"))
+    done = F.col("n").isNull()
+    rows = split(rows, ["grp"]).select("doc_id", left(done), "others", "grp", done.alias("done"), F.length(text_of()).alias("points"), F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows, "radix")
-    ready = [rows.where(alone).select("doc_id", "text", "others", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"))]
-    rows, start, width = rows.where(~alone).drop("n"), first, second
+    own = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
+    ready = [rows.where("done").select("doc_id", "text", "others", *own)]
+    rows, start, width = rows.where("NOT done").drop("done"), first, second
     while not rows.isEmpty():
         rows = rows.withColumn("norm", norm).withColumns({"digit": F.substring("norm", start + 1, width), "ended": F.octet_length("norm") <= start + width}).drop("norm")
-        groups = rows.groupBy("grp", "digit").agg(F.count("*").alias("n"), _best().alias("best"))
-        done = F.col("ended") | alone  # a group's texts are of one length and end together
-        rows = rows.join(groups, ["grp", "digit"]).select("doc_id", left(done), "others", "points", "row", "n", "best", done.alias("done"), F.lpad(F.hex("best.row"), 16, "0").cast("binary").alias("grp"))
+        done = F.col("ended") | F.col("n").isNull()  # a group's texts are of one length and end together
+        rows = split(rows, ["grp", "digit"], _best().alias("best")).select("doc_id", left(done), "others", "points", "row", "n", "best", done.alias("done"), F.lpad(F.hex("best.row"), 16, "0").cast("binary").alias("grp"))
         rows = materialise(rows, "radix")
-        ready.append(rows.where("done").select("doc_id", "text", "others", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept")))
+        ended = rows.where("done")
+        ready.append(ended.where("n IS NULL").select("doc_id", "text", "others", *own))
+        ready.append(ended.where("n > 1").select("doc_id", "text", "others", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept")))
         rows, start, width = rows.where("NOT done").drop("n", "best", "done"), start + width, width * wider
-    out = reduce(DataFrame.unionByName, ready)
+    return reduce(DataFrame.unionByName, ready)
+
+
+def exact_dedup(docs: DataFrame, keep_text: bool = True, first: int = FIRST, second: int = SECOND, wider: int = WIDER) -> DataFrame:
+    """All rows of ``docs`` (doc_id, text and any others) with keep_id, group_size and kept.
+
+    Texts are equal when identical after deleting white space. Of equal texts the row with the most
+    code points in its original text stays, then the smallest doc_id; keep_id is its doc_id.
+
+    Null texts count as empty, and all empty or blank texts are one group. A null doc_id comes after
+    all others. Of repeated rows (same doc_id and text) exactly one is kept. An empty table gives an
+    empty result. Further columns are passed through, packed into one, so that their names clash
+    with none used within; those named keep_id, group_size or kept are replaced. Without ``keep_text``
+    the text comes back as null, which spares writing the texts of the groups that are ready.
+    """
+    found = ("keep_id", "group_size", "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *found)]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+    out = _deduped(docs, packed, keep_text, first, second, wider)
     own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return out.select(*[own.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns], "keep_id", "group_size", "kept")
+    return out.select(*[own.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns if c not in found], *found)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (see :func:`exact_dedup`)."""
-    out = exact_dedup(docs)
-    return out.where(out["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all its columns as they are, with one row of each group of equal texts (see :func:`exact_dedup`)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+    out = _deduped(docs, packed, True, FIRST, SECOND, WIDER).where("kept")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.select(*[own.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns])
