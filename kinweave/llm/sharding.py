@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialise, text_of
 
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 16 << 20
 SEED = 20
+#: Rows of one doc_id and text from which on they are scattered one by one; buckets whose counts are summed up together.
+REPEATED, SET = 256, 4096
 
 
 def record_size(text: str = "text") -> Column:
@@ -30,31 +32,51 @@ def _fisher_yates(seed: int):
         order = np.argsort(table["mark"].to_numpy(), kind="stable")
         rng = np.random.default_rng([seed, table["bucket"][0].as_py()])
         rng.shuffle(order)  # numpy's shuffle is Fisher and Yates'
-        return table.take(pa.array(order)).drop_columns(["bucket", "mark"]).append_column("place", pa.array(np.arange(len(order)), pa.int64())).append_column("bucket", table["bucket"])
+        place = pa.array(np.arange(len(order)) + table["offset"][0].as_py(), pa.int64())
+        return table.select(["record"]).take(pa.array(order)).append_column("place", place)
 
     return shuffled
 
 
+def _marked(docs: DataFrame, seed: int) -> DataFrame:
+    """(record, mark): every row packed into one column, with a seeded hash of its id and text that parts repeated rows too.
+
+    Rows of a hash that :data:`REPEATED` rows or more share are folded, which sums up where the rows are, and
+    numbered anew; their number goes into the hash, so that copies of one row scatter like any others.
+    """
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(packed.alias("record"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"))
+    often = materialise(rows.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED).drop("n"), "repeated")
+    if often.isEmpty():
+        return rows
+    hot = rows.join(often, "mark", "left_semi").groupBy("record", "mark").agg(F.count("*").alias("n"))
+    hot = hot.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("record", F.xxhash64("mark", "k").alias("mark"))
+    return rows.join(often, "mark", "left_anti").select("record", "mark").union(hot)
+
+
 def external_shuffle(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of ``docs`` (doc_id, text and any others) with shard (int) and slot (long, gapless from 0 in each shard).
 
     The law is ``rows``: the shards' row counts are at most one apart. The same rows, seed and
     bucket size give the same shards again, however the input is partitioned; rows equal in doc_id
     and text are interchangeable. Null texts count as empty bytes, null doc_ids are hashed by their
-    text. An empty table gives an empty result; further columns are passed through, packed into one.
+    text. Repeated rows, however many, are dealt to all buckets (columns of a map type can't be compared and are not
+    supported then). An empty table gives an empty result; further columns are passed through, packed into one; those named
+    shard or slot are replaced.
     """
-    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    mark = F.xxhash64(F.lit(seed), "doc_id", "text")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.agg(F.sum(record_size())).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = docs.select(packed.alias("record"), mark.alias("mark")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.lit(buckets)))
-    # One row for each bucket, of which there are as many as memory-sized pieces of the input.
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("offset"))
-    schema = rows.drop("bucket", "mark").schema.add("place", "long").add("bucket", "long")
-    shuffled = rows.groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
-    at = F.col("offset") + F.col("place")
-    return shuffled.join(F.broadcast(offsets), "bucket").select("record.*", (at % shards).cast("int").alias("shard"), F.floor(at / shards).alias("slot"))
+    rows = _marked(docs, seed).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.lit(buckets)))
+    # Offsets of buckets by prefix sums in two levels: of sets of buckets, and within each of them.
+    counts = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("set", F.floor(F.col("bucket") / SET)), "buckets")
+    sets = counts.groupBy("set").agg(F.sum("n").alias("m")).select("set", (F.sum("m").over(Window.orderBy("set")) - F.col("m")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("set").orderBy("bucket")) - F.col("n")
+    offsets = counts.withColumn("within", within).join(sets, "set").select("bucket", (F.col("before") + F.col("within")).alias("offset"))
+    rows = rows.join(offsets, "bucket")
+    shuffled = rows.groupBy("bucket").applyInArrow(_fisher_yates(seed), rows.select("record").schema.add("place", "long"))
+    at = F.col("place")
+    return shuffled.select(*[F.col("record").getField(c).alias(c) for c in kept], (at % shards).cast("int").alias("shard"), F.floor(at / shards).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
