@@ -20,6 +20,7 @@ from .common import count_words, text_of
 SEED = "mix"
 #: Words in a block; rows, on average, in one stretch of a source's seeded order.
 BLOCK, STRETCH = 64, 4_000
+MIXED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_from")
 
 
 def cyclic_weights(sources: list, cycle: tuple = (5, 2, 1)) -> list:
@@ -85,16 +86,28 @@ def mix(docs: DataFrame, weights=cyclic_weights, block: int = BLOCK, shards: int
 
     Rows of no words take nothing. A null doc_id is placed by its text; repeated rows
     are interchangeable. An empty table
-    gives an empty result. Further columns are passed through; none may begin with ``mix_``.
+    gives an empty result. Further columns are passed through, packed into one; those with the names of the results are replaced.
     """
-    rows = docs.withColumns({"mix_size": count_words(text_of()), "mix_order": _order(), "mix_mark": F.xxhash64("text")})
+    kept = [c for c in docs.columns if c not in MIXED]
+    out = mix_measured(measured(docs), weights, block, shards, stretch)
+    return out.select(*[F.col("record").getField(c).alias(c) for c in kept], *MIXED)
+
+
+def measured(docs: DataFrame, pack: bool = True) -> DataFrame:
+    """(record, doc_id, source, mix_size, mix_order, mix_mark): what :func:`mix_measured` takes, and the row itself if it is to come along."""
+    record = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")] if pack else []
+    return docs.select(*record, "doc_id", "source", count_words(text_of()).alias("mix_size"), _order().alias("mix_order"), F.xxhash64("text").alias("mix_mark"))
+
+
+def mix_measured(rows: DataFrame, weights=cyclic_weights, block: int = BLOCK, shards: int = 24, stretch: int = STRETCH) -> DataFrame:
+    """:func:`mix` over rows that :func:`measured` has given, which a caller may have written, as they are read three times."""
     totals = rows.groupBy("source").agg(F.sum("mix_size").alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     targets = water_fill(sizes, weights([r["source"] for r in totals]))
     by_shard = quotas(targets, shards, block)
     table = [(r["source"], r["size"], float(t), sum(q[i] for q in by_shard), [sum(q[i] for q in by_shard[: k + 1]) for k in range(shards)], -(-r["n"] // stretch)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
-    recipe = docs.sparkSession.createDataFrame(table, "mix_source string, mix_source_size long, mix_target double, mix_quota long, mix_ends array<long>, mix_stretches long")
+    recipe = rows.sparkSession.createDataFrame(table, "mix_source string, mix_source_size long, mix_target double, mix_quota long, mix_ends array<long>, mix_stretches long")
     # A source's order is cut into stretches of bounded size, so that no task gets a whole source.
     rows = rows.join(F.broadcast(recipe), F.col("source").eqNullSafe(F.col("mix_source")))
     rows = rows.withColumn("mix_stretch", F.floor(F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("long") * F.col("mix_stretches") / F.lit(float(2**32))))
@@ -114,12 +127,12 @@ def mix(docs: DataFrame, weights=cyclic_weights, block: int = BLOCK, shards: int
         rows.withColumn("mix_start", start)
         .withColumn("mix_taken", F.when(size == 0, 0).otherwise(taken).cast("long"))
         .withColumn("mix_from", F.when(F.col("mix_taken") > 0, F.size(F.filter("mix_ends", lambda end: end <= first))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_from")
+        .select(*[c for c in ("record", "doc_id") if c in rows.columns], *MIXED)
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, none to two times; a row taken in part counts as half up."""
     copies = F.floor(F.col("mix_taken") / F.greatest("mix_size", F.lit(1)) + 0.5).cast("int")
-    out = mix(docs, **options).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mix_measured(measured(docs), **options).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return out.select("record.*")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anomalies import judge
-from .common import text_of
+from .common import materialise, text_of
 from .exact_dedup import exact_dedup, normalised
 from .licences import scan_licences
-from .mixing import mix
+from .mixing import measured, mix_measured
 from .near_dedup import jaccard_classes
 from .pieces import Vocabulary, recode
 from .quality import score_quality
@@ -71,7 +71,7 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that a mix of 150 % of all words takes from it."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix_measured(materialise(measured(table(spark, sf_dir, "documents"), pack=False), "measured"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
