@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_of
+from .common import WORD, id_type, materialise, text_of
 
 #: Words of a shingle; the threshold; values of a signature and of a band; values compared in a step.
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -227,7 +227,7 @@ def jaccard_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance:
     copies of the very same text. Repeated rows are copies. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("key", text_key(F.col("text")))
-    signed = materialise(rows.mapInArrow(_sign, "doc_id long, key binary, sig binary"), "signed")
+    signed = materialise(rows.mapInArrow(_sign, f"doc_id {id_type(docs)}, key binary, sig binary"), "signed")
     grouped = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("docs"))
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -258,10 +258,11 @@ def jaccard_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest doc_id.
 
-    Of repeated rows one stays. Rows of classes without any doc_id stay all, but for repeated rows.
+    Of repeated rows (same doc_id and text) one stays. Of classes without any doc_id one row of each text stays.
     """
     found = jaccard_classes(docs)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", F.col("class_id").alias("stay_id")).distinct()
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", text_key(F.coalesce(F.col("row.text"), F.lit(""))))
     kept = marked.join(stays, (marked["key"] == stays["key"]) & F.col("row.doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return kept.select("row.*")
+    # Repeated rows are equal in text and number; the first of each task is kept before they meet.
+    return kept.groupBy("key", F.col("row.doc_id").alias("id")).agg(F.first("row").alias("row")).select("row.*")
