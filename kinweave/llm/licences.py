@@ -16,22 +16,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import id_type, text_of
 
 _words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 #: The base phrases with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices of public licences, with their label.
+_BULLET = """<<beginOptional>><<var;name="bullet";original="1";match="[0-9a-z]{1,3}">> <<endOptional>>"""
+_HOLDER = """<<var;name="holder";original="the copyright holders and contributors";match=".+">>"""
+
+#: Wording that several licences share.
+_BSD_CONDITIONS = f"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+     conditions are met: {_BULLET}Redistributions of source code must retain the above copyright notice, this list of conditions and the
+     following disclaimer. {_BULLET}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+     the following disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_ADVERTISING = f"""{_BULLET}All advertising materials mentioning features or use of this software must display the following acknowledgement:
+     This product includes software developed by {_HOLDER} """
+_BSD_NAMES = f"""{_BULLET}Neither the name of {_HOLDER} nor the names of its contributors may be used to endorse or promote products derived
+     from this software without specific prior written permission. """
+_BSD_DISCLAIMER = f"""THIS SOFTWARE IS PROVIDED BY {_HOLDER} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+     IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR
+     ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+     GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+     CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+     ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+
+#: The whole wording of public licences, and the notices by which texts refer to them, with their labels.
 TEMPLATES = (
     ("mit", """<<beginOptional>>This software is <<endOptional>>Released under the <<beginOptional>>terms of the <<endOptional>>MIT License"""),
-    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    ("mit", f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
      documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
      rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-     persons to whom the Software is furnished to do so"""),
-    ("apache-2.0", """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License"); you may not use this file
-     except in compliance with the License<<endOptional>>"""),
+     persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+     permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial
+     portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+     LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {_HOLDER} BE
+     LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+     CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0"""),
     ("gpl", """<<var;name="subject";original="This program";match="(this|work|program|software|library|file)">>
      <<var;name="noun";original="program";match="(work|program|software|library|file|is)">> <<beginOptional>>is <<endOptional>>
      licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License <<beginOptional>>version
@@ -43,17 +66,20 @@ TEMPLATES = (
     ("cc-by", """Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY <<var;name="major";original="4";match="[0-9]+">>
      <<var;name="minor";original="0";match="[0-9]+">>"""),
     ("cc0", """CC0 1.0 Universal"""),
-    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-     conditions are met"""),
-    ("isc", """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is
-     hereby granted, provided that the above copyright notice and this permission notice appear in all copies"""),
-    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"""),
+    ("bsd-2-clause", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("bsd-3-clause", _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("bsd-4-clause", _BSD_CONDITIONS + _BSD_ADVERTISING + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("isc", f"""Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is
+     hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+     "AS IS" AND {_HOLDER} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+     FITNESS. IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+     RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+     CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+     with this file, You can obtain one at http<<beginOptional>>s<<endOptional>>://mozilla.org/MPL/2.0/"""),
     ("proprietary", """Copyright <<beginOptional>>(c) <<endOptional>><<var;name="year";original="2020";match="[0-9]{4}">> <<var;name="holder";original="holder";match=".+">> All rights reserved"""),
 )
 
-#: Words that a replaceable region of any words takes at most.
-ANY_WORDS = 12
-
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text, A to Z in lower case."""
@@ -62,10 +88,11 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class State:
-    """Where an automaton can go: by a word, by a word that matches an expression, or without any (empty)."""
+    """Where an automaton can go: by a word, by a word that matches an expression, by any word, or without any (empty)."""
 
     words: dict[str, list[int]] = field(default_factory=dict)
     tests: list[tuple[re.Pattern, int]] = field(default_factory=list)
+    anything: int | None = None
     empty: list[int] = field(default_factory=list)
 
 
@@ -74,12 +101,12 @@ class Template:
 
     _markup = re.compile(r"<<(beginOptional|endOptional|var)((?:;[^>]*)?)>>")
 
-    def __init__(self, label: str, markup: str, any_words: int = ANY_WORDS):
-        self.label, self.states, self.mandatory, self.any_words = label, [State()], 0, any_words
+    def __init__(self, label: str, markup: str):
+        self.label, self.states, self.loops = label, [State()], set()
         open_: list[int] = []
         at, place = 0, 0
         for mark in self._markup.finditer(markup):
-            at = self._literal(at, markup[place : mark.start()], not open_)
+            at = self._literal(at, markup[place : mark.start()])
             place = mark.end()
             if mark[1] == "beginOptional":
                 open_.append(at)
@@ -91,18 +118,18 @@ class Template:
                 at = self._variable(at, re.search(r'match="([^"]*)"', mark[2])[1])
         if open_:
             raise ValueError(f"{label}: beginOptional without endOptional")
-        self.final = self._literal(at, markup[place:], True)
+        self.final = self._literal(at, markup[place:])
         self.opening = [self.states[s] for s in self._closed({0})]
 
     def _new(self) -> int:
         self.states.append(State())
         return len(self.states) - 1
 
-    def _literal(self, at: int, text: str, mandatory: bool) -> int:
+    def _literal(self, at: int, text: str) -> int:
         for word in words_of(text):
             to = self._new()
             self.states[at].words.setdefault(word, []).append(to)
-            at, self.mandatory = to, self.mandatory + mandatory
+            at = to
         return self._join(at)
 
     def _join(self, at: int) -> int:
@@ -113,14 +140,11 @@ class Template:
 
     def _variable(self, at: int, match: str) -> int:
         to = self._new()
-        if match in (".+", ".*"):
-            anything = re.compile("(?s).+")
-            step = at
-            for _ in range(self.any_words):
-                step_to = self._new()
-                self.states[step].tests.append((anything, step_to))
-                self.states[step_to].empty.append(to)
-                step = step_to
+        if match in (".+", ".*"):  # a state that any word leads to, and back to
+            loop = self._new()
+            self.states[at].anything = self.states[loop].anything = loop
+            self.states[loop].empty.append(to)
+            self.loops.add(loop)
             if match == ".*":
                 self.states[at].empty.append(to)
         else:
@@ -137,24 +161,39 @@ class Template:
         return out
 
     def begins_with(self, word: str) -> bool:
-        return any(word in s.words or any(test.fullmatch(word) for test, _ in s.tests) for s in self.opening)
+        return any(s.anything is not None or word in s.words or any(test.fullmatch(word) for test, _ in s.tests) for s in self.opening)
+
+    def accepts(self, words: list[str], start: int, spent: dict[int, int]) -> bool:
+        """Whether the automaton accepts a stretch of words from ``start``.
 
-    def match(self, words: list[str], start: int) -> int | None:
-        """The end of the longest stretch from ``start`` that the automaton accepts."""
-        at, end = self._closed({0}), None
-        for i in range(start, len(words) + 1):
+        A region of any words goes on to the end of the text. ``spent`` has the places from which runs before
+        this one have followed such a region in vain; from there on it is not followed again, so that all runs of a
+        text take as long as one.
+        """
+        at, entered = self._closed({0}), {}
+        for i in range(start, len(words)):
             if self.final in at:
-                end = i
-            if i == len(words):
-                break
+                return True
             word, to = words[i], set()
             for s in at:
-                to.update(self.states[s].words.get(word, ()))
-                to.update(t for test, t in self.states[s].tests if test.fullmatch(word))
+                state = self.states[s]
+                to.update(state.words.get(word, ()))
+                to.update(t for test, t in state.tests if test.fullmatch(word))
+                if state.anything is not None:
+                    to.add(state.anything)
+            for loop in self.loops & to:
+                entered.setdefault(loop, i)
+                if i >= spent.get(loop, len(words)):
+                    to.discard(loop)
             if not to:
                 break
             at = self._closed(to)
-        return end
+        else:
+            if self.final in at:
+                return True
+        for loop, i in entered.items():
+            spent[loop] = min(i, spent.get(loop, i))
+        return False
 
 
 @dataclass
@@ -170,13 +209,15 @@ class Scanner:
     def scan(self, text: str) -> tuple:
         """n_words, n_base, first_word, last_word, base labels, all labels, score."""
         words = words_of(text)
-        places, base, found = [], set(), set()
+        places, base, found, spent = [], set(), set(), {}
         for i, (phrases, templates) in [(i, o) for i, o in enumerate(map(self.openers.__getitem__, words)) if o]:
             for phrase, label in phrases:
                 if words[i : i + len(phrase)] == phrase:
                     places.append(i)
                     base.add(label)
-            found.update(t.label for t in templates if t.match(words, i) is not None)
+            for t in templates:
+                if t.label not in found and t.accepts(words, i, spent.setdefault(id(t), {})):
+                    found.add(t.label)
         score = 1.0 if found else 0.5 if base else 0.0
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), score
 
@@ -196,11 +237,11 @@ class _Openers(dict):
         return opener
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
 def scan_licences(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text), as :data:`SCHEMA` has it.
+    """A row of doc_id and the columns of :data:`SCHEMA` for each row of ``docs`` (doc_id, text).
 
     n_base counts the places where a phrase's words stand one after another, first_word and last_word
     are the smallest and largest of them (null: none); base_labels are the phrases' labels and labels
@@ -218,6 +259,6 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
         for batch in batches:
             found = list(zip(*map(scanner.scan, batch["text"].to_pylist()), strict=True)) or [()] * 7
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(),)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, {SCHEMA}")

@@ -73,13 +73,17 @@ WITH p AS (
   FROM pages),
 o AS (
   SELECT *, CASE WHEN words > 0 THEN (regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') OR junk * 10 > words)::INT END AS outcome,
-         string_split(host, '.') AS l
+         regexp_replace(regexp_replace(host, '^.*@', ''), '\.*(:[0-9]*)?$', '') AS bare
   FROM p),
 h AS (
-  SELECT host, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad, any_value(l) AS l,
-         any_value(CASE WHEN length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND len(l) > 2 THEN 2 ELSE 1 END) AS k
+  SELECT host, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad, any_value(bare) AS bare, string_split(any_value(bare), '.') AS l,
+         regexp_matches(any_value(bare), '^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\[') AS address
   FROM o GROUP BY host),
-h2 AS (SELECT host, n, bad, array_to_string(l[-(k + 1):], '.') AS domain, array_to_string(l[-k:], '.') AS suffix FROM h),
+hk AS (
+  SELECT *, CASE WHEN length(l[-1]) = 2 AND len(l) > 2 AND l[-2] IN ('ac', 'co', 'com', 'ed', 'edu', 'go', 'gob', 'gouv', 'gov', 'gub', 'gv', 'ltd', 'me', 'mil', 'muni', 'ne', 'net', 'nhs', 'nic', 'nom', 'or', 'org', 'plc', 'police', 'sch')
+         THEN 2 ELSE 1 END AS k
+  FROM h),
+h2 AS (SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN address THEN 'ip' ELSE array_to_string(l[-k:], '.') END AS suffix FROM hk),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 levels AS (SELECT 1 AS lv, n, bad FROM s WHERE n > 0 UNION ALL SELECT 2, n, bad FROM d WHERE n > 0 UNION ALL SELECT 3, n, bad FROM h2 WHERE n > 0),
@@ -112,7 +116,7 @@ def _template_regex(markup: str) -> str:
             out.append(")?")
         elif token.startswith("<<var"):
             match = re.search(r'match="([^"]*)"', token)[1]
-            out.append(r"(?:[^ ]+ ){1,12}" if match == ".+" else f"(?:{match}) ")
+            out.append(r"(?:[^ ]+ )+" if match == ".+" else f"(?:{match}) ")
         else:
             out += [w + " " for w in re.findall(r"[a-z0-9]+", token.lower())]
     return "(?:^| )" + "".join(out)

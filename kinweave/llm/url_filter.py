@@ -23,7 +23,7 @@ WEAKEST, STRONGEST = 1.0, 1000.0
 
 #: Words that mark a host's pages as unwanted; labels that form a suffix with a country's.
 LISTED = ("adult", "ads", "bets", "casino", "pills", "spam")
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "ed", "edu", "go", "gob", "gouv", "gov", "gub", "gv", "ltd", "me", "mil", "muni", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "sch")
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,17 @@ def path_of(url: Column) -> Column:
 
 
 def domain_parts(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the suffix is the last label, or the last two where a country's has a second level."""
-    labels = F.split(host, r"\.")
+    """(registered domain, suffix): the suffix is the last label, or the last two where a country's has a second level.
+
+    What stands before an @, a port, and dots at the end are left aside. A numeric address is its own domain, below the suffix ``ip``.
+    """
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.*(:[0-9]*)?$", "")
+    address = F.regexp_like(bare, F.lit(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\["))
+    labels = F.split(bare, r"\.")
     two = (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL) & (F.size(labels) > 2)
     n = F.when(two, 2).otherwise(1)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), ".")
-    return last(n + 1), last(n)
+    return F.when(address, bare).otherwise(last(n + 1)), F.when(address, "ip").otherwise(last(n))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -130,6 +135,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tolerated: fl
     host = host_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path_of(F.col("url")).alias("path"), page_outcome(host, F.col("html")).alias("outcome"))
     rows = materialise(rows, "pages")
-    found = rows.join(host_reputation(rows).select("host", "bound"), "host").withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    reputation = materialise(host_reputation(rows).select("host", "bound"), "reputation")  # a table: a host of many pages can be split in the join
+    found = rows.join(reputation, "host").withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("bound") > tolerated, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "bound")
