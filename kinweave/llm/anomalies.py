@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, label_of, materialise, text_of
+from .common import WORD, bounded, id_type, label_of, materialise, text_of
 
 #: Labelled rows to learn from at most; trees; rows drawn for each tree.
 SAMPLE, TREES, DRAWN, SEED = 20_000, 200, 32, 6
@@ -70,7 +70,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
             found = np.array([measure(t) for t in batch["text"].to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in np.ascontiguousarray(found.T))], ["doc_id", *COUNTS])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: The columns of :func:`features` that share a forest. In a single forest the three that hardly part good rows from bad ones dilute the paths of the two that do.

@@ -26,7 +26,7 @@ Rule = tuple[tuple[int, bool, float], ...]
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """The statistics that rules may test; of empty texts all are 0."""
+    """The statistics that rules may test; of empty texts q_distinct and q_lines, which count the empty word and line, are 1 and all others 0."""
     words = count_words(text)
     per_word = F.greatest(words, F.lit(1)).cast("double")
     chars = F.length(text)
@@ -139,8 +139,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(doc_id, held_out, score, predicted), one row for each row of ``docs`` (doc_id, text).
 
     The model learns from at most ``sample`` labelled rows, none of them held out; only statistics of
-    the text are inputs. Null texts count as empty, and empty texts get the score of all-zero
-    statistics. Labels that are null, or of no document, count for nothing; of contradicting ones the
+    the text are inputs. Null texts count as empty, and empty texts are scored by their statistics
+    like any others. Labels that are null, or of no document, count for nothing; of contradicting ones the
     majority counts. Without labels of both kinds every score is the smoothed share of label 1. A
     null doc_id is scored like any other; repeated rows are scored alike; an empty table gives an
     empty result.

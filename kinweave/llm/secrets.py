@@ -40,9 +40,11 @@ def _assigned() -> str:
 _BODY = r"[A-Za-z0-9+/=:,\x20\x09-\x0D]*+"
 #: A private key's block, or its first line alone if it is cut off.
 BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:{_BODY}(?:-(?!-){_BODY}){{0,20}}-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)?+"
-CANDIDATE = f"{BLOCK}|{_assigned()}|{RUN}"
-#: Characters kept of what stands before and after a candidate.
-BESIDE = 48
+#: A signed token of three parts, which is one candidate.
+SIGNED = rf"(?<![{KEY}])eyJ[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]++){{1,2}}+"
+CANDIDATE = f"{BLOCK}|{_assigned()}|{SIGNED}|{RUN}"
+#: Characters kept of what stands before and after a candidate, of which three words are read.
+BESIDE = 256
 #: Documents that must have a word before it counts as one of the dictionary.
 IN_DOCS = 3
 #: Labelled findings to learn from at most; neighbouring words with a weight of their own; trees and their depth.
@@ -163,7 +165,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int
         marked = rows.withColumn("label", known_formats())
     else:
         marked = rows.join(labelled.where("label IS NOT NULL").groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"])
-    seen = bounded(marked.where("NOT held_out AND label IS NOT NULL"), F.col("cand"), sample)
+    seen = bounded(marked.where("NOT held_out AND label IS NOT NULL").drop("cand"), F.struct("doc_id", "start"), sample)
     weights = neighbour_weights(seen)
     own = [f for f in FEATURES if f != "s_neighbours"]
     score = F.lit(1.0)
