@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phonetic import koelner
+from .phonetic import koelner, let
 
 #: Spelling variants of given names.
 VARIANTS = {
@@ -80,9 +80,8 @@ def names_similar(a: Column, b: Column, key_a: Column | None = None, key_b: Colu
 
 
 def near_name(a: Column, b: Column) -> Column:
-    """Similar, and not further apart than a third of the shorter name, or two letters."""
-    shorter = F.least(F.length(a), F.length(b))
-    return names_similar(a, b) & (distance(a, b) <= F.greatest(F.lit(2), F.floor(shorter / 3)))
+    """Similar, and not further apart than two letters, or a third of ``a``, the identity's name."""
+    return names_similar(a, b) & (distance(a, b) <= F.greatest(F.lit(2), F.floor(F.length(a) / 3)))
 
 
 def given_points(a: Column, b: Column) -> Column:
@@ -116,11 +115,6 @@ def sex_of_given(given: Column, male: list[str], female: list[str]) -> Column:
     return F.get(F.filter(F.transform(words, of), lambda s: s.isNotNull()), F.lit(0))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _void(text: Column) -> Column:
     return F.when(text != "", text)
 
@@ -182,7 +176,7 @@ def parse_person(cell: Column) -> Column:
     def person(text: Column, found: Column) -> Column:
         any_ = lambda f: F.exists(found, lambda m: m[f])
         latest = lambda f: F.get(F.reverse(F.filter(F.transform(found, lambda m: m[f]), lambda v: v.isNotNull())), F.lit(0))
-        extras = F.array_join(F.filter(F.transform(F.slice(found, 3, 1000), lambda m: m["text"]), lambda t: t != ""), ", ")
+        extras = F.array_join(F.filter(F.transform(F.slice(found, F.lit(3), F.greatest(F.size(found) - 2, F.lit(0))), lambda m: m["text"]), lambda t: t != ""), ", ")
 
         def named(n: Column) -> Column:
             led = F.regexp_extract(n["given"], first, 1)

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _letters(name: Column) -> Column:
     """Lower case, umlauts without their dots, ß as ss, ph as f, nothing but a to z."""
     plain = F.replace(F.translate(F.lower(name), "äöü", "aou"), F.lit("ß"), F.lit("ss"))
@@ -39,8 +44,9 @@ def koelner(name: Column) -> Column:
     Digits of all letters are put together, equal neighbours become one, and zeros go but for a
     leading one, in this order: digits that only a zero parted stay doubled.
     """
-    s = F.coalesce(_letters(name), F.lit(""))
-    at = lambda i: F.substring(s, i, F.lit(1))
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: _code(at(i), F.when(i > 1, at(i - 1)).otherwise(""), at(i + 1)))
-    digits = F.regexp_replace(F.array_join(codes, ""), r"(.)\1+", "$1")
-    return F.when(s == "", "").otherwise(F.concat(F.substring(digits, 1, 1), F.replace(F.substring(digits, 2, 2**31 - 1), F.lit("0"), F.lit(""))))
+    def key(letters: Column) -> Column:
+        near = lambda i: F.coalesce(F.get(letters, i), F.lit(""))
+        codes = F.transform(letters, lambda letter, i: _code(letter, near(i - 1), near(i + 1)))
+        return let(F.regexp_replace(F.array_join(codes, ""), r"(.)\1+", "$1"), lambda d: F.concat(F.substring(d, 1, 1), F.replace(F.substring(d, 2, 2**31 - 1), F.lit("0"), F.lit(""))))
+
+    return let(F.coalesce(_letters(name), F.lit("")), lambda s: F.when(s == "", "").otherwise(let(F.split(s, ""), key)))

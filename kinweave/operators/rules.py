@@ -20,20 +20,22 @@ THIS_YEAR = 2026
 #: Names that are no names, female call names, and patterns of what a name field should not hold.
 NO_NAME = ("", "NN", "Anonymus", "Anonyma")
 FEMALE_CALL_NAMES = (
-    "Agatha Agnes Anna Apollonia Auguste Barbara Beata Benigna Caroline Catharina Charlotte Christiana Christina Christine Dorothea "
-    "Elisabeth Elisabetha Emilie Ernestine Esther Euphrosina Eva Friederike Hanna Helena Henriette Jacobina Jacobine Johanna Judith "
-    "Justina Katharina Louise Luise Lydia Magdalena Margaretha Margarethe Maria Martha Mathilde Ottilia Pauline Philippina Rebecca "
-    "Regina Rosina Sabina Salome Sara Sibylla Sophia Sophie Susanna Theresia Ursula Veronica Walburga Walpurga Wilhelmine"
-).split()
+    "Walburga", "Walpurga", "Maria", "Anna", "Catharina", "Katharina", "Margaretha", "Margarethe",
+    "Barbara", "Elisabetha", "Elisabeth", "Magdalena", "Agnes", "Ursula", "Christina", "Christine",
+    "Rosina", "Regina", "Dorothea", "Sophia", "Sophie", "Johanna", "Eva", "Susanna", "Agatha",
+    "Apollonia", "Veronica", "Sibylla", "Salome", "Judith", "Justina", "Friederike", "Wilhelmine",
+    "Louise", "Luise", "Caroline", "Charlotte", "Jacobina", "Jacobine", "Philippina", "Christiana",
+    "Beata", "Benigna", "Euphrosina", "Helena", "Ottilia", "Sabina", "Sara", "Rebecca", "Esther",
+    "Hanna", "Lydia", "Martha", "Emilie", "Pauline", "Mathilde", "Auguste", "Ernestine", "Henriette",
+    "Theresia",
+)
 PHRASE_GIVEN = r"(?i)\b(keine? angaben?|unbekannt|ohne namen|findelkind|spurius|spuria|anonym|kein nachname|tochter|sohn|witwe|wittib|kind)\b"
 PHRASE_SURNAME = r"(?i)\b(keine? angaben?|unbekannt|ohne namen|angaben)\b"
-PLACES = (
-    "Tübingen Stuttgart Esslingen Schorndorf Winterbach Waiblingen Göppingen Backnang Lorch Welzheim Gmünd Heilbronn Ulm Ludwigsburg "
-    "Kirchheim Nürtingen Reutlingen Urach Böblingen Herrenberg Calw Marbach Weinsberg Cannstatt Plüderhausen Urbach Beutelsbach "
-    "Grunbach Geradstetten Hebsack Schnait Endersbach Fellbach Haubersbronn Miedelsbach Schlichten Oberberken Baiereck Steinenberg "
-    "Rudersberg Buhlbronn Hohengehren Schornbach"
-).split()
-PLACE_GIVEN = rf"(?i)\b(zu|von|aus|in|nacher|bey|bei) [A-ZÄÖÜ][a-zäöüß]{{3,}}|\b({'|'.join(PLACES)})\b"
+PLACE_GIVEN = (
+    r"(?i)\b(zu|von|aus|in|nacher|bey|bei) [A-ZÄÖÜ][a-zäöüß]{3,}|\b(Tübingen|Stuttgart|Esslingen|Schorndorf|Winterbach|Waiblingen|Göppingen|Backnang|Lorch|Welzheim|Gmünd|Heilbronn|Ulm|Ludwigsburg"
+    r"|Kirchheim|Nürtingen|Reutlingen|Urach|Böblingen|Herrenberg|Calw|Marbach|Weinsberg|Cannstatt|Plüderhausen|Urbach|Beutelsbach|Grunbach|Geradstetten|Hebsack|Schnait|Endersbach|Fellbach|Haubersbronn"
+    r"|Miedelsbach|Schlichten|Oberberken|Baiereck|Steinenberg|Rudersberg|Buhlbronn|Hohengehren|Schornbach)\b"
+)
 PLACE_SURNAME = r"(?i)\b(zu|aus|in|bey|bei|nacher) [A-ZÄÖÜ]"
 GLUED = "[a-zäöüß][A-ZÄÖÜ][a-zäöüß]"
 SEVERAL_SURNAMES = "^[A-ZÄÖÜ][a-zäöüß]+([ ,/]+[A-ZÄÖÜ][a-zäöüß]+)+$"

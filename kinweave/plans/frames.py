@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_struct
 from ..operators.rules import Model
+from ..sources.shared import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +107,29 @@ def _date(prefix: str, parts: bool = True) -> Column:
     return F.when(y.isNotNull(), date_struct(y, F.col(f"{prefix}_m"), F.col(f"{prefix}_d")) if parts else date_struct(y))
 
 
-def register(spark: SparkSession, sf_dir: str) -> Model:
-    """The register as the rules' model."""
+_written: dict = {}
+
+
+class Register(Model):
+    """The register as the rules' model. Persons, families and children are written when they are first asked for, once in a session."""
+
+    def __init__(self, key: tuple, views: dict[str, DataFrame], **small: DataFrame):
+        self._key, self._views = key, views
+        for name, df in small.items():
+            setattr(self, name, df)
+
+    def _table(self, name: str) -> DataFrame:
+        if (*self._key, name) not in _written:
+            _written[*self._key, name] = materialise(self._views[name], f"register-{name}")
+        return _written[*self._key, name]
+
+    p = property(lambda self: self._table("p"))
+    f = property(lambda self: self._table("f"))
+    fc = property(lambda self: self._table("fc"))
+
+
+def register(spark: SparkSession, sf_dir: str) -> Register:
+    """The register that is derived from the tables of ``sf_dir``."""
     tables = {t: table(spark, sf_dir, t) for t in ("customer", "supplier", "lineitem", "orders", "nation")}
 
     def view(text: str) -> DataFrame:
@@ -121,7 +143,10 @@ def register(spark: SparkSession, sf_dir: str) -> Model:
     )
     f = f.select("family_id", "husband", "wife", _date("wedding").alias("wedding"), "note")
     merged = p.where("birth.d IS NOT NULL").select("person_id", F.concat_ws(".", "birth.d", "birth.m", F.col("birth.y") - 200).alias("death_a"), F.concat_ws(".", F.col("birth.d") - F.col("person_id") % 2, "birth.m", F.col("birth.y") - 200).alias("death_b"))
-    return Model(p, f, view(CHILDREN), view(ALIAS), words(REJECTED_GIVEN), words(CONFIRMED_GIVEN), words(REJECTED_SURNAME), words(PLACE_WORDS), merged)
+    return Register(
+        (spark.sparkContext.applicationId, sf_dir), {"p": p, "f": f, "fc": view(CHILDREN)}, alias=view(ALIAS), rejected_given=words(REJECTED_GIVEN), confirmed_given=words(CONFIRMED_GIVEN),
+        rejected_surname=words(REJECTED_SURNAME), places=words(PLACE_WORDS), merged=merged,
+    )
 
 
 def duck(text: str) -> str:

@@ -49,7 +49,7 @@ kc AS (
 kr AS (SELECT name, string_agg(d, '' ORDER BY i) AS raw FROM kc GROUP BY name),
 kx AS (SELECT name, unnest(range(1, length(raw) + 1)) AS i, raw FROM kr),
 kf AS (SELECT name, string_agg(raw[i], '' ORDER BY i) AS f FROM kx WHERE i = 1 OR raw[i] <> raw[i - 1] GROUP BY name),
-keys AS (SELECT nm.name, coalesce(f[1] || replace(substr(f, 2), '0', ''), '') AS key FROM nm LEFT JOIN kf USING (name))"""
+keys AS MATERIALIZED (SELECT nm.name, coalesce(f[1] || replace(substr(f, 2), '0', ''), '') AS key FROM nm LEFT JOIN kf USING (name))"""
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
