@@ -41,11 +41,11 @@ def _deduped(docs: DataFrame, others: Column, keep_text: bool, first: int, secon
     def split(rows: DataFrame, by: list[str], *best: Column) -> DataFrame:
         """``rows`` with n, and ``best``, of their group; null in a group of one row.
 
-        Only groups of two rows or more are written, and the rows meet that table: a join of nothing but
-        the rows and a table, which adaptive execution can broadcast if it is small, and split where a group is large.
+        Only groups of two rows or more are written, and the rows meet that table in a merge join of nothing but
+        the two, which adaptive execution can split where a group is large, and which is the same at every size.
         """
         groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *best).where("n > 1")
-        return rows.join(materialise(groups, "groups"), by, "left")
+        return rows.join(materialise(groups, "groups").hint("merge"), by, "left")
 
     # Round 0: most texts differ in length or in their first bytes and leave here.
     rows = docs.select("doc_id", "text", others.alias("others")).withColumn("norm", norm)
