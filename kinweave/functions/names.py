@@ -32,6 +32,19 @@ FILLERS = ("johan", "ane", "maria")
 SEX_NOUNS = {"mädchen": "F", "töchterlein": "F", "tochter": "F", "knabe": "M", "söhnlein": "M", "sohn": "M", "knäblein": "M"}
 MARITAL = (("ehe", "witw|verh|ehe|hausfrau|weib|uxor|vidu"), ("ledig", "ledig|jungfr|jungges|gesell|virgo"), ("kind", "s[äa]ugl|kind|knab|m[äa]dchen|s[öo]hn|t[öo]chter|infans|puer"))
 
+#: Given names of men and of women, in lower case.
+MALE = """johann hans georg michael martin jacob jakob christian christoph andreas friedrich adam bernhard
+david daniel philipp peter paul konrad conrad leonhard ludwig matthias matthäus nicolaus nikolaus sebastian simon
+stephan stefan tobias valentin wilhelm wolf wolfgang zacharias kaspar caspar melchior balthasar gottfried gottlieb
+josef joseph karl carl heinrich ernst ferdinand franz lorenz benedikt bartholome bartholomäus jörg ulrich albrecht
+alexander anton august eberhard erhard friedlieb israel johannes markus marcus nikolaus vollrad""".split()
+FEMALE = """anna maria margaretha margarete katharina catharina elisabeth elisabetha barbara eva susanna susanne
+christina christine dorothea dorothee magdalena agnes ursula rosina regina sabina judith juliana sophia sophie
+friederike friederika friderica friedrika johanna justina lucia sara sarah salome helena helene anastasia apollonia
+cordula felicitas gertrud hedwig kunigunde kunigunda ottilia sibylla sibilla veronica veronika agatha agathe
+brigitte brigitta clara klara eleonora eleonore luisa luise louise eberhardina francisca franziska wilhelmina
+wilhelmine augusta auguste karoline caroline charlotte amalia amalie philippina ernestina""".split()
+
 #: Particles of a surname.
 PARTICLE = "von der|von dem|von|zu|de|v\\."
 

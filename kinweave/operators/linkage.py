@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import full, ordinal
-from ..functions.names import given_contradiction, given_points, names_similar
+from ..functions.names import given_contradiction, given_points, marital_kind, names_similar
 from ..functions.phonetic import koelner
 
 #: Points, thresholds and margins.
@@ -59,30 +59,50 @@ def person_points(pairs: DataFrame) -> DataFrame:
     (partial dates), event (the mention's date), adult (c: the earliest year as an adult), buried (c: partial
     date), father and mother surname, spouse given. Any may be null, which excludes nothing. The first rule that fits
     excludes; nothing excluded scores.
+
+    Further columns may be there: m_low and m_high, the ages that the mention's role allows; m_wedding, of which an age of 18 to 32 speaks for the
+    candidate; m_marital; m_age_days, by which an infant's reckoned birth may be off by a quarter; m_dead_allowed and m_father_role (a father may
+    be dead for a year); m_parent_name with c_parent_name, which may not be unlike; m_other_parent and m_other_parent_name with c_partner and
+    c_partner_name: who is married to the one named parent is the other, not the child.
     """
     differs = lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)
+    no = F.lit(False)
+    may = lambda name, kind: F.coalesce(c(name), F.lit(None).cast(kind)) if name in pairs.columns else F.lit(None).cast(kind)
     my, cy = c("m_birth.y"), c("c_birth.y")
     age = c("m_event.y") - cy
     given = given_points(c("m_given"), c("c_given"))
     days = F.abs(ordinal(c("m_birth")) - ordinal(c("c_birth")))
     both_days = full(c("m_birth")) & full(c("c_birth"))
-    infant = both_days & (c("m_event.y") - my < 2)
+    age_days = may("m_age_days", "int")
+    infant = both_days & F.coalesce(age_days < 730, c("m_event.y") - my < 2)
+    band = F.when(age_days.isNotNull(), F.greatest(F.lit(31), F.floor(age_days / 4))).otherwise(31)
+    born_then = F.coalesce(both_days & ((c("m_birth") == c("c_birth")) | (infant & (days <= band))), no)
+    years = F.abs(my - cy)
+    dead_before = ~F.coalesce(c("m_burial"), no) & (c("m_event.y") > c("c_death.y")) & ~F.coalesce(may("m_dead_allowed", "boolean"), no)
+    posthumous = F.coalesce(may("m_father_role", "boolean") & (c("m_event.y") - c("c_death.y") <= 1), no)
+    other_father = may("m_parent_name", "string").isNotNull() & may("c_parent_name", "string").isNotNull() & ~names_similar(may("m_parent_name", "string"), may("c_parent_name", "string"))
+    is_parent = names_similar(may("m_other_parent_name", "string"), may("c_partner_name", "string")) & F.coalesce(given_points(may("m_other_parent", "string"), may("c_partner", "string")) > 0, F.lit(True)) & c("m_spouse").isNull()
     excluded = (
-        F.when(differs(c("m_sex"), c("c_sex")), "sex")
+        F.when(~F.coalesce(age.between(may("m_low", "int"), may("m_high", "int")), F.lit(True)), "age of the role")
+        .when(differs(c("m_sex"), c("c_sex")), "sex")
         .when(my > c("c_adult") - 14, "born after adult")
         .when(c("m_adult") & (age < 14), "too young for the role")
+        .when(F.coalesce(c("m_burial"), no) & (marital_kind(may("m_marital", "string")) == "ehe") & (age < 14), "married too young")
         .when(c("m_burial") & full(c("c_buried")) & full(c("m_event")) & (F.abs(ordinal(c("m_event")) - ordinal(c("c_buried"))) > 10), "already buried")
         .when(F.coalesce(c("c_given"), F.lit("")) == "", "candidate without given name")
         .when(given_contradiction(c("m_given"), c("c_given")) | (given == 0), "given names differ")
         .when(infant & (days > 365), "infant born on another day")
-        .when(~F.coalesce(both_days & (days <= 31), F.lit(False)) & (F.abs(my - cy) > NEAR_YEARS), "born in other years")
-        .when(~F.coalesce(c("m_burial"), F.lit(False)) & (c("m_event.y") > c("c_death.y")), "already dead")
+        .when(~born_then & (years > NEAR_YEARS), "born in other years")
+        .when(dead_before & ~posthumous, "already dead")
         .when((age < 0) | (age > 100), "age")
+        .when(other_father, "other father")
+        .when(is_parent, "is the parent")
     )
     points = (
         F.coalesce(given, F.lit(0))
         + F.when(c("m_surname") == c("c_surname"), EXACT_SURNAME).otherwise(0)
-        + F.coalesce(F.when(both_days & (days <= 31), EXACT_BIRTH), birth_points(my, cy), F.lit(0))
+        + F.when(may("m_wedding", "boolean") & age.between(18, 32), MARRIAGE_AGE).otherwise(0)
+        + F.when(born_then, EXACT_BIRTH).when(years <= 1, YEAR_BIRTH).when(years <= NEAR_YEARS, NEAR_BIRTH).otherwise(0)
         + F.when(full(c("m_death")) & (c("m_death") == c("c_death")), DEATH_REFERENCE).otherwise(0)
         + F.when(names_similar(c("m_father"), c("c_father")), FATHER).otherwise(0)
         + F.when(names_similar(c("m_mother"), c("c_mother")), MOTHER).otherwise(0)
@@ -147,37 +167,6 @@ def decide_by_name_and_year(mentions: DataFrame) -> DataFrame:
     return out.select("id", "stage", final.alias("final_stage"), F.when(final != "neu", first["best"]["first"]).alias("best_id"), (-first["p"]).alias("points"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def mention_pairs(mentions: DataFrame, years: int = NEAR_YEARS) -> DataFrame:
-    """Pairs of a mention and an earlier one that may be the same person, as :func:`person_points` wants them.
-
-    ``mentions`` has id, order (a number that grows with time), key, given (canonical), surname, sex, birth, death, event (partial
-    dates), adult, burial (booleans), father, mother, spouse. The pair shares the phonetic key, one canonical given name, and a birth
-    year at most ``years`` apart; each mention asks for its years one by one, so that the join is on equal values and a frequent
-    name is dealt out by year.
-    """
-    columns = ("id", "order", "given", "surname", "sex", "birth", "death", "event", "adult", "burial", "father", "mother", "spouse")
-    keyed = mentions.where("key <> '' AND given <> '' AND birth.y IS NOT NULL")
-    token = F.explode(F.array_distinct(F.split("given", " ")))
-    m = keyed.select(*[c(x).alias(f"m_{x}") for x in columns], "key", token.alias("token")).withColumn("year", F.explode(F.sequence(c("m_birth.y") - years, c("m_birth.y") + years)))
-    x = keyed.select(*[c(x).alias(f"c_{x}") for x in columns], "key", token.alias("token"), c("birth.y").alias("year"))
-    met = m.join(x, ["key", "token", "year"]).where("c_order < m_order")
-    first = F.element_at(F.array_intersect(F.split("m_given", " "), F.split("c_given", " ")), 1)  # several common names make one pair
-    met = met.where(c("token") == first)
-    return met.withColumns({"c_adult": F.when(c("c_adult"), c("c_event.y")), "c_buried": F.when(c("c_burial"), c("c_event"))})
-
-
-def link_mentions(mentions: DataFrame, components, threshold: int = THRESHOLD) -> DataFrame:
-    """(id, identity) of mentions: pairs are scored and vetoed, each mention decides by margin, and what is linked is one identity.
-
-    A decision is for the whole of the mentions at once, not entry by entry: what an identity learns from one entry is not
-    known when the next one is judged.
-    """
-    scored = person_points(mention_pairs(mentions)).where("points IS NOT NULL")
-    anchor = full(c("m_birth")) & full(c("c_birth")) | (F.abs(c("m_birth.y") - c("c_birth.y")) <= 1)
-    decided = decide(scored.select("m_id", "c_id", "points", anchor.alias("anchor")), threshold)
-    return link_set_based(decided, mentions.select("id"), components)
-
-
 def link_set_based(decided: DataFrame, ids: DataFrame, components) -> DataFrame:
     """(id, identity): mentions that a decision links, directly or through others, are one identity, named by its smallest mention.
 

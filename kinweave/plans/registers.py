@@ -148,7 +148,7 @@ def burials(spark, sf_dir):
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, (ARRAY['Haag', 'Eberle', 'Müller', 'Schmid'])[(o_orderkey % 4 + 1)::INT] AS name, (ARRAY['04', '0175', '657', '862'])[(o_orderkey % 4 + 1)::INT] AS key,
   CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 70 + 1) * 365 ELSE o_orderkey % 50 * 7 END::INT AS age FROM orders)
-SELECT k AS entry, 'verstorbener' AS path, name, CASE WHEN k % 3 = 0 THEN 'Catharina' ELSE 'Hans' END AS given, key AS name_key, CASE WHEN k % 3 = 0 THEN 'katarine' ELSE 'johan' END AS given_canon, CASE WHEN k % 3 = 0 THEN 'F' END AS sex,
+SELECT k AS entry, 'verstorbener' AS path, name, CASE WHEN k % 3 = 0 THEN 'Catharina' ELSE 'Hans' END AS given, key AS name_key, CASE WHEN k % 3 = 0 THEN 'katarine' ELSE 'johan' END AS given_canon, CASE WHEN k % 3 = 0 THEN 'F' ELSE 'M' END AS sex,
   NULL AS occupation, false AS deceased, k % 3 > 0 AS uncertain, false AS unknown, age AS age_days, year(d - age)::INT AS birth_y, CASE WHEN age < 365 THEN day(d - age)::INT END AS birth_d, 'CAL' AS prefix FROM o
 UNION ALL SELECT k, 'verstorbener_vater', name, 'Jacob', key, 'jakob', 'M', 'Bauer', true, false, false, NULL, NULL, NULL, NULL FROM o WHERE k % 5 = 0
 UNION ALL SELECT k, 'verstorbener_ehepartner', NULL, NULL, NULL, NULL, NULL, NULL, false, false, true, NULL, NULL, NULL, NULL FROM o WHERE k % 7 = 0""")
