@@ -139,6 +139,6 @@ def date_text(date: Column) -> Column:
 
 
 def gedcom_date(date: Column, prefix: Column | None = None) -> Column:
-    """31 AUG 1778, led by a prefix."""
-    month = F.get(F.array(*map(F.lit, MONTHS)), date["m"] - 1)
-    return F.concat_ws(" ", F.lit(None).cast("string") if prefix is None else prefix, F.when(date["m"].isNotNull(), date["d"]), month, date["y"])
+    """31 AUG 1778, led by a prefix; a month that no year has is left out, and its day."""
+    month = F.when(date["m"] > 0, F.get(F.array(*map(F.lit, MONTHS)), date["m"] - 1))
+    return F.concat_ws(" ", F.lit(None).cast("string") if prefix is None else prefix, F.when(month.isNotNull(), date["d"]), month, date["y"])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_text
 from ..operators import ingest, matching, mentions
-from ..sources import gedcom
-from .frames import PERSONS, duck, register, table
+from ..sources import export, gedcom
+from .frames import CHILDREN, FAMILIES, PERSONS, duck, register, table
+from .linkage import linked_villages
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -167,7 +168,7 @@ def split_participants(spark, sf_dir):
 # ---- GEDCOM
 
 _P = f"p AS ({duck(PERSONS)})"
-_DATE = "concat_ws(' ', CASE WHEN {x}_m IS NOT NULL THEN {x}_d END, ['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'][{x}_m], {x}_y)"
+_DATE = "concat_ws(' ', CASE WHEN {x}_m BETWEEN 1 AND 12 THEN {x}_d END, ['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'][{x}_m], {x}_y)"
 _LINES = f"""{_P}, li AS (SELECT '@I' || person_id || '@' AS record, b AS block, s AS seq, lv AS level, t AS tag, v AS value FROM p, LATERAL (VALUES (0, 0, 0, 'INDI', NULL, true), (1, 0, 1, 'NAME', given || ' /' || surname || '/', true), (2, 0, 1, 'SEX', upper(sex), sex IN ('m', 'w')),
   (3, 0, 1, 'BIRT', NULL, birth_y IS NOT NULL), (3, 1, 2, 'DATE', {_DATE.format(x='birth')}, birth_y IS NOT NULL), (4, 0, 1, 'OCCU', occupation, occupation <> ''), (5, 0, 1, 'DEAT', NULL, death_y IS NOT NULL), (5, 1, 2, 'DATE', {_DATE.format(x='death')}, death_y IS NOT NULL)) x(b, s, lv, t, v, ok) WHERE ok)"""
 
@@ -193,6 +194,44 @@ def gedcom_wrap(spark, sf_dir):
     return gedcom.wrap(table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text"))
 
 
+def _model(spark, sf_dir):
+    """The derived register, written as records and read again."""
+    m = register(spark, sf_dir)
+    return gedcom.read_model(gedcom.parse_records(export.record_texts(export.model_records(m.p, m.f, m.fc))))
+
+
+_VALID = lambda x: f"{x}_y, CASE WHEN {x}_m BETWEEN 1 AND 12 THEN {x}_m END AS {x}_m, CASE WHEN {x}_m BETWEEN 1 AND 12 THEN {x}_d END AS {x}_d"
+_parts = lambda x: [c(f"{x}.{part}").alias(f"{x}_{part}") for part in "ymd"]
+
+
+@query(f"SELECT person_id, trim(given) AS given, trim(surname) AS surname, CASE WHEN sex IN ('m', 'w') THEN sex ELSE 'u' END AS sex, {_VALID('birth')}, {_VALID('death')}, baptism_y, burial_y, occupation, trim(note) AS note FROM ({duck(PERSONS)})")
+def gedcom_model_persons(spark, sf_dir):
+    p, _, _ = _model(spark, sf_dir)
+    return p.select("person_id", "given", "surname", "sex", *_parts("birth"), *_parts("death"), c("baptism.y").alias("baptism_y"), c("burial.y").alias("burial_y"), "occupation", "note")
+
+
+@query(f"SELECT family_id, husband, wife, {_VALID('wedding')}, note FROM ({duck(FAMILIES)})")
+def gedcom_model_families(spark, sf_dir):
+    _, f, _ = _model(spark, sf_dir)
+    return f.select("family_id", "husband", "wife", *_parts("wedding"), "note")
+
+
+@query(f"""WITH p AS MATERIALIZED ({duck(PERSONS)}), f AS MATERIALIZED ({duck(FAMILIES)}), fc AS MATERIALIZED ({duck(CHILDREN)}),
+k AS (SELECT family_id, child, 0 AS own, pos AS place FROM fc SEMI JOIN f USING (family_id) UNION ALL SELECT DISTINCT family_id, child, 1, child FROM fc ANTI JOIN f USING (family_id) SEMI JOIN p ON person_id = child)
+SELECT family_id, child, row_number() OVER (PARTITION BY family_id ORDER BY own, place, child)::INT AS pos FROM k""")
+def gedcom_model_children(spark, sf_dir):
+    return _model(spark, sf_dir)[2]
+
+
+@query()
+def gedcom_linked(spark, sf_dir):
+    """The persons and families that linking finds in the villages, as GEDCOM records with the sources of their events."""
+    m, links, found = linked_villages(spark, sf_dir)
+    cited = m.withColumns({"source": F.when(c("register") == "taufe", 1).when(c("register") == "ehe", 2).otherwise(3).cast("long"), "page": F.concat(F.lit("Zeile "), c("entry").cast("string"))})
+    titles = spark.range(1, 4).select(c("id").alias("source"), F.concat(F.lit("Register "), c("id").cast("string")).alias("title"))
+    return export.record_texts(export.linked_records(cited, links, found, titles)).select("rank", "record", "text")
+
+
 _CITED = "CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'Zitat ' || o_orderkey WHEN 1 THEN concat_ws(', ', 'KB ' || o_orderpriority, 'S. ' || o_custkey, 'Nr. ' || o_orderkey) WHEN 2 THEN 'S. ' || o_custkey ELSE 'orders, Zeile ' || o_orderkey END"
 
 
