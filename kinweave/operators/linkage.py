@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import full, ordinal
-from ..functions.names import given_contradiction, given_points, marital_kind, names_similar
+from ..functions.names import close_spelling, given_contradiction, given_points, marital_kind, names_similar
 from ..functions.phonetic import koelner
 
 #: Points, thresholds and margins.
@@ -202,21 +202,36 @@ def overlay_decisions(links: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def resolve_participants(participants: DataFrame, persons: DataFrame, years: int = 15, least_age: int = 14) -> DataFrame:
+#: Persons of one cell that are looked at: more than an entry has principals, so that what is left tells whether one fits.
+_FEW = 16
+
+
+def resolve_participants(participants: DataFrame, persons: DataFrame, principals: DataFrame | None = None, years: int = 15, least_age: int = 14) -> DataFrame:
     """(part_id, person_id, reason): a participant is a person if exactly one fits.
 
-    ``participants`` has part_id, key (phonetic), given (canonical), surname, year; ``persons`` person_id, key, given, surname, year (of
-    a mention), birth_y, death_y. Key and given name must be equal, surnames close, the mention within ``years``, and the person old
-    enough and not dead in an earlier year. Equal questions are asked once, of persons folded into cells of equal names and years, so
-    that the work grows with names and years and not with the bearers of a frequent name; one person fits if the smallest and the
-    largest that do are the same.
+    ``participants`` has part_id, key (phonetic), given (canonical), surname, year, and may have single (said to be unmarried) and entry; ``persons``
+    person_id, key, given, surname, year (of a mention), birth_y, death_y, and may have wed_y (first wedding); ``principals`` (entry, person_id) are those whom an entry
+    is about, who are none of its participants (15 at most).
+    Key and given name must be equal, surnames close, the mention within ``years``, and the person old
+    enough, not dead in an earlier year, and not married before if said to be single. Equal questions are asked once, of persons folded into cells of equal names and years, so
+    that the work grows with names and years and not with the bearers of a frequent name: of a cell the first few persons tell whether
+    one is left without the principals.
     """
-    ask = ["key", "given", "surname", "year"]
+    participants = participants if "single" in participants.columns else participants.withColumn("single", F.lit(False))
+    persons = persons if "wed_y" in persons.columns else persons.withColumn("wed_y", F.lit(None).cast("int"))
+    ask, cell = ["key", "given", "surname", "year", "single"], ["key", "given", "p_surname", "p_year", "birth_y", "death_y", "wed_y"]
     asks = participants.select(*ask).distinct()
-    cells = persons.groupBy("key", "given", c("surname").alias("p_surname"), c("year").alias("p_year"), "birth_y", "death_y").agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
+    each = persons.select("key", "given", c("surname").alias("p_surname"), c("year").alias("p_year"), "birth_y", "death_y", "wed_y", "person_id").distinct()
+    few = each.withColumn("nr", F.row_number().over(Window.partitionBy(*cell).orderBy("person_id"))).where(c("nr") <= _FEW)
+    cells = few.groupBy(*cell).agg(F.collect_list("person_id").alias("ids"))
     near = F.abs(c("year") - c("p_year")) <= years
-    alive = F.coalesce(c("year") - c("birth_y") >= least_age, F.lit(True)) & F.coalesce(c("death_y") >= c("year"), F.lit(True))
-    met = asks.join(cells, ["key", "given"]).where(near & alive & (F.levenshtein(F.lower("surname"), F.lower("p_surname")) <= 1))
-    found = met.groupBy(*ask).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    reason = F.when(c("low").isNull(), "none fits").when(c("low") < c("high"), "several fit").otherwise("one fits")
-    return participants.join(found, ask, "left").select("part_id", F.when(c("low") == c("high"), c("low")).alias("person_id"), reason.alias("reason"))
+    alive = F.coalesce(c("year") - c("birth_y") >= least_age, F.lit(True)) & F.coalesce(c("death_y") >= c("year"), F.lit(True)) & ~(c("single") & F.coalesce(c("wed_y") < c("year"), F.lit(False)))
+    met = asks.join(cells, ["key", "given"]).where(near & alive & close_spelling(c("surname"), c("p_surname")))
+    found = met.groupBy(*ask).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    out = participants.join(found, ask, "left").withColumn("ids", F.coalesce("ids", F.array().cast(dict(each.select(F.array("person_id").alias("x")).dtypes)["x"])))
+    if principals is not None:
+        own = principals.groupBy("entry").agg(F.collect_set("person_id").alias("own"))
+        out = out.join(own, "entry", "left").withColumn("ids", F.when(c("own").isNotNull(), F.array_except("ids", "own")).otherwise(c("ids")))
+    n = F.size("ids")
+    reason = F.when(n == 0, "none fits").when(n > 1, "several fit").otherwise("one fits")
+    return out.select("part_id", F.when(n == 1, F.get("ids", F.lit(0))).alias("person_id"), reason.alias("reason"))

@@ -11,6 +11,8 @@ from ..functions.phonetic import koelner
 from ..operators import graph
 from ..operators import linkage as L
 from ..operators import evaluate, families
+from ..operators import verdicts as V
+from ..sources import export
 from ..sources.shared import materialise
 from .frames import PERSONS, duck, register, table
 from .village import people, village_mentions
@@ -300,15 +302,15 @@ def alternatives_top3(spark, sf_dir):
 
 @query(f"""WITH {_ADULTS}, p AS (SELECT person_id, {_GIVEN_CANON} AS given, surname, birth_y, death_y FROM ad WHERE person_id < 1000000), """ + koelner_sql("SELECT DISTINCT surname AS name FROM p") + """,
 k AS (SELECT p.*, key FROM p JOIN keys ON name = surname WHERE key <> '' AND given <> ''),
-q AS (SELECT o_orderkey AS part_id, key, given, surname, (birth_y + 20 + o_orderkey % 30)::INT AS year FROM orders JOIN k ON person_id = o_custkey WHERE birth_y IS NOT NULL),
-f AS (SELECT part_id, count(DISTINCT person_id) AS n, min(person_id) AS one FROM q JOIN k USING (key, given) WHERE abs(q.year - (k.birth_y + 30)) <= 15 AND coalesce(q.year - k.birth_y >= 14, true) AND coalesce(k.death_y >= q.year, true) AND levenshtein(lower(q.surname), lower(k.surname)) <= 1 GROUP BY part_id)
+q AS (SELECT o_orderkey AS part_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS own, key, given, surname, (birth_y + 20 + o_orderkey % 30)::INT AS year FROM orders JOIN k ON person_id = o_custkey WHERE birth_y IS NOT NULL),
+f AS (SELECT part_id, count(DISTINCT person_id) AS n, min(person_id) AS one FROM q JOIN k USING (key, given) WHERE abs(q.year - (k.birth_y + 30)) <= 15 AND coalesce(q.year - k.birth_y >= 14, true) AND coalesce(k.death_y >= q.year, true) AND (levenshtein(lower(q.surname), lower(k.surname)) <= 1 OR (levenshtein(lower(q.surname), lower(k.surname)) = 2 AND greatest(length(q.surname), length(k.surname)) >= 7 AND lower(q.surname)[1:3] = lower(k.surname)[1:3])) AND k.person_id <> q.own GROUP BY part_id)
 SELECT part_id, CASE WHEN n = 1 THEN one END AS person_id, CASE WHEN n IS NULL THEN 'none fits' WHEN n > 1 THEN 'several fit' ELSE 'one fits' END AS reason FROM q LEFT JOIN f USING (part_id)""")
 def participant_unique_match(spark, sf_dir):
     p = register(spark, sf_dir).p.where("person_id < 1000000").select("person_id", koelner(c("surname")).alias("key"), N.given_canon(c("given")).alias("given"), "surname", c("birth.y").alias("birth_y"), c("death.y").alias("death_y"))
     p = p.where("key <> '' AND given <> ''").withColumn("year", c("birth_y") + 30)
     o = table(spark, sf_dir, "orders").join(p.where("birth_y IS NOT NULL"), c("o_custkey") == c("person_id"))
-    parts_ = o.select(c("o_orderkey").alias("part_id"), "key", "given", "surname", (c("birth_y") + 20 + (c("o_orderkey") % 30)).cast("int").alias("year"))
-    return L.resolve_participants(parts_, p)
+    parts_ = o.select(c("o_orderkey").alias("part_id"), "key", "given", "surname", (c("birth_y") + 20 + (c("o_orderkey") % 30)).cast("int").alias("year"), c("o_orderkey").alias("entry"))
+    return L.resolve_participants(parts_, p, table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("entry"), c("o_custkey").alias("person_id")))
 
 
 @query("""WITH f AS (SELECT o_orderkey AS family_id, o_custkey AS husband, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 END AS wife, o_orderstatus = 'F' AS wedded FROM orders)
@@ -406,3 +408,68 @@ def linkage_couples_found(spark, sf_dir):
     couples = evaluate.set_metrics(truth.select("husband_ref", "wife_ref"), pairs.where("wedded = 1").select("husband_ref", "wife_ref")).withColumn("kind", F.lit("couples"))
     children = evaluate.set_metrics(truth.join(true_children.select("family_id", c("child").alias("child_ref")), "family_id").select("husband_ref", "wife_ref", "child_ref"), kids).withColumn("kind", F.lit("children"))
     return couples.union(children).select("kind", "n_truth", "n_found", "n_both", "n_missing", "n_extra")
+
+
+_VERDICT = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'neu' WHEN 1 THEN '[' || o_custkey || ']' WHEN 2 THEN ' Offen ' WHEN 3 THEN 'zurück' WHEN 4 THEN '' || o_custkey WHEN 5 THEN 'quatsch' END"
+
+
+@query(f"""WITH m AS (SELECT 'o' || o_orderkey AS key, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS ident FROM orders),
+s AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE 'o' END || o_orderkey AS key, lower(trim(coalesce({_VERDICT}, ''))) AS said, o_custkey AS n, CASE WHEN o_orderkey % 7 = 1 THEN 'o' || (o_orderkey - o_orderkey % 3) END AS named FROM orders),
+r AS (SELECT s.*, (SELECT count(*) FROM m WHERE m.key = s.key) > 0 AS here, CASE WHEN named IN (SELECT key FROM m) THEN named END AS hit FROM s),
+f AS (SELECT r.key, min(m.key) AS other FROM r JOIN m ON m.ident = r.n AND m.key <> r.key WHERE said = n::VARCHAR OR said = '[' || n || ']' GROUP BY r.key),
+t AS (SELECT r.*, coalesce(hit, other) AS target FROM r LEFT JOIN f USING (key)),
+u AS (SELECT key, target, CASE WHEN said IN ('', 'offen', '?', '-') THEN 'uebergangen' WHEN NOT here THEN 'unknown mention' WHEN said = 'neu' THEN 'neu' WHEN said = 'zurück' THEN 'zurueck' WHEN target IS NULL THEN 'no such candidate' ELSE 'gleich' END AS status FROM t)
+SELECT key, status, CASE WHEN status = 'gleich' THEN target END AS target FROM u""")
+def verdict_import(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), c("o_orderkey")
+    m = o.select(F.concat(F.lit("o"), k.cast("string")).alias("key"), F.when(k % 5 > 0, c("o_custkey")).alias("ident"))
+    target = F.when(k % 7 == 1, F.concat(F.lit("o"), (k - k % 3).cast("string")))
+    candidates = V.candidate_text(F.array(F.struct(c("o_custkey").alias("ident"), F.lit(100).alias("points"), F.lit("Vorname").alias("reason"), target.alias("key"))))
+    sheet = o.select(F.concat(F.when(k % 11 == 0, "x").otherwise("o"), k.cast("string")).alias("key"), F.expr(_VERDICT).alias("verdict"), candidates.alias("candidates"))
+    return V.read_verdicts(sheet, m)
+
+
+@query("""WITH a AS (SELECT 'k' || o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'richtig' WHEN 'O' THEN 'falsch' ELSE 'offen' END AS answer, CASE WHEN o_orderkey % 2 = 0 THEN 'tod' ELSE 'taufe' END AS register, o_custkey AS ident FROM orders WHERE o_orderkey % 13 > 0),
+f AS (SELECT o_custkey AS ident, min('k' || o_orderkey) AS target FROM orders WHERE o_custkey % 4 > 0 GROUP BY o_custkey)
+SELECT key, 'gleich' AS kind, target FROM a JOIN f USING (ident) WHERE answer = 'richtig' UNION ALL SELECT key, 'neu', NULL FROM a WHERE answer = 'falsch' AND register = 'tod'""")
+def sample_take_over(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), c("o_orderkey")
+    key = F.concat(F.lit("k"), k.cast("string"))
+    register_ = F.when(k % 2 == 0, "tod").otherwise("taufe")
+    answers = o.select(k.alias("entry"), register_.alias("register"), c("o_custkey").alias("family"), F.when(c("o_orderstatus") == "F", "richtig").when(c("o_orderstatus") == "O", "falsch").otherwise("offen").alias("answer"), F.when(k % 2 == 0, "verstorbener").otherwise("vater").alias("role"), F.when(k % 13 > 0, key).alias("key"), c("o_custkey").alias("ident"))
+    firsts = o.where("o_custkey % 4 > 0").groupBy(c("o_custkey").alias("ident")).agg(F.min(key).alias("key"))
+    return V.take_over(answers, firsts)
+
+
+_PAGE = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Taufe 1647/0' || o_custkey WHEN 1 THEN '  trauung ' || (1700 + o_custkey % 90) || ' / 00' || o_orderkey || 'a' WHEN 2 THEN 'Beerdigung 1750/' || o_custkey WHEN 3 THEN ' Seite   ' || o_custkey || '  unten ' ELSE 'Sterbefall 1801 /7' END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_PAGE} AS page FROM orders), m AS (SELECT *, regexp_extract(lower(page), '^\s*(tauf|trau|heirat|ehe|begr|tod|sterb|beerd)\w*\s+(\d{{4}})\s*/\s*0*(\d+)', ['k', 'y', 'n']) AS p FROM o)
+SELECT o_orderkey AS entry, CASE WHEN p.k = '' THEN regexp_replace(trim(page), '\s+', ' ', 'g') ELSE CASE p.k WHEN 'tauf' THEN 'Tau' WHEN 'trau' THEN 'Tra' WHEN 'heirat' THEN 'Tra' WHEN 'ehe' THEN 'Tra' ELSE 'Beg' END || ' ' || p.y || '/' || p.n END AS citation FROM m""")
+def citation_normal(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("entry"), V.normal_citation(F.expr(_PAGE)).alias("citation"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey % 90 AS y, o_custkey % 13 AS m, '15.5.' || (1700 + o_custkey % 99) AS d FROM orders)
+SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 4 = 2 THEN y::DOUBLE WHEN o_orderkey % 4 = 3 THEN NULL ELSE y + m / 12.0::DOUBLE + 10 / 365.0::DOUBLE END AS age FROM o""")
+def age_from_death_text(spark, sf_dir):
+    k, y, m = c("o_orderkey"), (c("o_custkey") % 90).cast("string"), (c("o_custkey") % 13).cast("string")
+    date = F.concat(F.lit("15.5."), (1700 + c("o_custkey") % 99).cast("string"))
+    told = F.when(k % 4 == 1, F.concat(F.lit("+ "), date, F.lit(" alt"))).when(k % 4 == 2, F.concat(F.lit("+ "), date, F.lit(" ("), y, F.lit(" Jahre)"))).when(k % 4 == 3, F.concat(F.lit("("), y, F.lit(" J)"))).otherwise(F.concat(F.lit("+ "), date, F.lit("  ( "), y, F.lit(" J "), m, F.lit(" M 10 T)")))
+    return table(spark, sf_dir, "orders").select(k.alias("entry"), V.age_in_text(told, date).alias("age"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS identity, o_orderpriority AS register, CASE WHEN o_orderkey % 6 > 0 THEN year(o_orderdate) END AS year, o_orderkey AS id FROM orders)
+SELECT identity, register, min_by(id, (year IS NULL, year, id)) AS id FROM m GROUP BY ALL""")
+def earliest_by_register(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(c("o_custkey").alias("identity"), c("o_orderpriority").alias("register"), F.when(c("o_orderkey") % 6 > 0, F.year("o_orderdate")).alias("year"), c("o_orderkey").alias("id"))
+    return export.earliest_by_register(o).select("identity", "register", "id")
+
+
+@query("""WITH h AS (SELECT l_linenumber AS col, 'Spalte ' || l_linenumber AS title, l_linenumber % 3 = 0 AS mapped FROM lineitem GROUP BY ALL),
+k AS (SELECT l_orderkey AS entry, l_linenumber AS col, min(l_partkey) AS raw FROM lineitem GROUP BY ALL)
+SELECT entry, string_agg(title || ': ' || raw, chr(10) ORDER BY col) AS note FROM k JOIN h USING (col) WHERE NOT mapped GROUP BY entry""")
+def unmapped_cells(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("entry"), c("l_linenumber").alias("col")).agg(F.min("l_partkey").cast("string").alias("raw")).withColumn("source", F.lit(1))
+    headers = cells.select("source", "col").distinct().select("source", "col", F.concat(F.lit("Spalte "), c("col").cast("string")).alias("title"), (c("col") % 3 == 0).alias("mapped"))
+    return export.unmapped_notes(cells, headers)
