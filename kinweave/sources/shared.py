@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are deleted at its end, but for those written with ``keep``.
+
+    Whatever still reads them must have been written or collected by then. Without a scope tables stay, since a result may
+    be read at any time.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it again; ``keep``: beyond the :func:`scope` that is open, up to the one around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinweave-{name}-{uuid.uuid4().hex}"
+    level = _scopes[: len(_scopes) - keep]
+    if level:
+        level[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
