@@ -444,8 +444,8 @@ def sample_take_over(spark, sf_dir):
 _PAGE = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Taufe 1647/0' || o_custkey WHEN 1 THEN '  trauung ' || (1700 + o_custkey % 90) || ' / 00' || o_orderkey || 'a' WHEN 2 THEN 'Beerdigung 1750/' || o_custkey WHEN 3 THEN ' Seite   ' || o_custkey || '  unten ' ELSE 'Sterbefall 1801 /7' END"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, {_PAGE} AS page FROM orders), m AS (SELECT *, regexp_extract(lower(page), '^\s*(tauf|trau|heirat|ehe|begr|tod|sterb|beerd)\w*\s+(\d{{4}})\s*/\s*0*(\d+)', ['k', 'y', 'n']) AS p FROM o)
-SELECT o_orderkey AS entry, CASE WHEN p.k = '' THEN regexp_replace(trim(page), '\s+', ' ', 'g') ELSE CASE p.k WHEN 'tauf' THEN 'Tau' WHEN 'trau' THEN 'Tra' WHEN 'heirat' THEN 'Tra' WHEN 'ehe' THEN 'Tra' ELSE 'Beg' END || ' ' || p.y || '/' || p.n END AS citation FROM m""")
+@query(f"""WITH o AS (SELECT o_orderkey, {_PAGE} AS page FROM orders), m AS (SELECT *, regexp_extract(lower(page), '^\\s*(tauf|trau|heirat|ehe|begr|tod|sterb|beerd)\\w*\\s+(\\d{{4}})\\s*/\\s*0*(\\d+)', ['k', 'y', 'n']) AS p FROM o)
+SELECT o_orderkey AS entry, CASE WHEN p.k = '' THEN regexp_replace(trim(page), '\\s+', ' ', 'g') ELSE CASE p.k WHEN 'tauf' THEN 'Tau' WHEN 'trau' THEN 'Tra' WHEN 'heirat' THEN 'Tra' WHEN 'ehe' THEN 'Tra' ELSE 'Beg' END || ' ' || p.y || '/' || p.n END AS citation FROM m""")
 def citation_normal(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(c("o_orderkey").alias("entry"), V.normal_citation(F.expr(_PAGE)).alias("citation"))
 

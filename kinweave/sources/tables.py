@@ -7,11 +7,15 @@ import re
 import tomllib
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from functools import reduce
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 #: Encodings to try, delimiters to count, characters to look at.
 ENCODINGS, DELIMITERS, LOOK = ("utf-8-sig", "cp1252", "latin-1"), ";,\t|", 4000
 
@@ -33,18 +37,64 @@ def sniff(head: bytes) -> tuple[str, str]:
     return encoding, delimiter
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV with its headings as columns; the file's beginning is read by Spark, so any store will do."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, LOOK * 4)).first()[0]
-    encoding, delimiter = sniff(bytes(head))
-    # A file of one line break a row splits well; quoted line breaks need multiLine, which reads a file in one task.
-    rows = spark.read.csv(path, sep=delimiter, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1", header=True, multiLine=True, nullValue="")
-    if encoding != "cp1252":
-        return rows
-    # cp1252 is ISO-8859-1 with letters where that has control characters.
-    own = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
-    plain, letters = ("".join(x) for x in zip(*[x for x in own if x[1]], strict=True))
-    return rows.select(*[F.translate(f"`{c}`", plain, letters).alias(c.translate(str.maketrans(plain, letters))) for c in rows.columns])
+#: cp1252 is ISO-8859-1 with letters where that has control characters.
+_OWN = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+_CONTROLS, _LETTERS = ("".join(x) for x in zip(*[x for x in _OWN if x[1]], strict=True))
+#: Lines of a file that are looked at.
+HEAD_LINES = 20
+
+
+def kinds_of_files(spark: SparkSession, path: str) -> dict[tuple[str, str], list[str]]:
+    """The files at ``path`` by (encoding, delimiter), each sniffed by its first lines: tasks cut them off, and nothing else reaches the driver."""
+    lines = spark.read.schema("line string").csv(path, sep="\u0001", quote="", encoding="ISO-8859-1", maxCharsPerColumn=-1)
+    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nr")).where("start = 0")
+    first = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("nr"))).where(F.col("n") <= HEAD_LINES)
+    heads = first.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.substring("line", 1, LOOK).alias("line")))), lambda x: x["line"]), "\n").alias("head"))
+    out: dict[tuple[str, str], list[str]] = {}
+    for r in heads.orderBy("file").collect():
+        out.setdefault(sniff(r["head"].encode("latin-1")), []).append(r["file"])
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, numbered: bool = False) -> DataFrame:
+    """Rows of the CSV files at ``path`` with their headings as columns; files of different encodings and delimiters may lie together.
+
+    Files are cut into tasks at their lines. Quoted line breaks need ``multiline``, which reads each file in one task. ``numbered`` adds file and
+    row, the line's number as a citation has it: headings are row 1; empty lines are not counted. A folder without files gives an error, as in Spark.
+    """
+    parts = []
+    for (encoding, delimiter), files in kinds_of_files(spark, path).items():
+        charset = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
+        for group in _by_headings(spark, files, delimiter, charset):
+            rows = spark.read.csv(group, sep=delimiter, encoding=charset, header=True, multiLine=multiline, nullValue="")
+            if encoding == "cp1252":
+                told = lambda name: name.translate(str.maketrans(_CONTROLS, _LETTERS))
+                place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")] if numbered else []
+                rows = rows.select(*[F.translate(f"`{c}`", _CONTROLS, _LETTERS).alias(told(c)) for c in rows.columns], *place)
+            elif numbered:
+                rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+            parts.append(_numbered(rows) if numbered else rows)
+    if not parts:
+        return spark.read.csv(path, header=True)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _by_headings(spark: SparkSession, files: list[str], delimiter: str, charset: str) -> list[list[str]]:
+    """Files of the same headings, in the same order: Spark reads the headings of one file for all that it reads at once."""
+    out: dict[tuple, list[str]] = {}
+    for file in files:
+        out.setdefault(tuple(spark.read.csv(file, sep=delimiter, encoding=charset, header=True).columns), []).append(file)
+    return list(out.values())
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with file and row: counts of a file's pieces are summed up, and within each the rows stand in order."""
+    kept = [c for c in rows.columns if c not in ("_file", "_start")]
+    rows = materialise(rows.withColumn("_nr", F.monotonically_increasing_id()), "rows")
+    counts = rows.groupBy("_file", "_start").agg(F.count("*").alias("n"))
+    before = counts.select("_file", "_start", (F.sum("n").over(Window.partitionBy("_file").orderBy("_start")) - F.col("n")).alias("_before"))
+    nr = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_nr"))
+    return rows.withColumn("_at", nr).join(before, ["_file", "_start"]).select(*kept, F.col("_file").alias("file"), (F.col("_before") + F.col("_at") + 1).cast("int").alias("row"))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -58,18 +108,42 @@ def column_index(letters: str) -> int:
     return n - 1
 
 
+def _dates_of(z: zipfile.ZipFile) -> list[bool]:
+    """For each cell style of a workbook whether its number is a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.parse(z.open("xl/styles.xml")).getroot()
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\[.*?\\]', "", f.get("formatCode", "")).lower() for f in root.iterfind("m:numFmts/m:numFmt", _NS)}
+    ids = [int(x.get("numFmtId", 0)) for x in root.iterfind("m:cellXfs/m:xf", _NS)]
+    return [14 <= i <= 22 or 45 <= i <= 47 or bool(re.search("[dmy]", own.get(i, ""))) for i in ids]
+
+
+def _as_date(serial: str) -> str:
+    """The ISO text of a spreadsheet's day number, with the time if it has one."""
+    moment = datetime(1899, 12, 30) + timedelta(seconds=round(float(serial) * 86400))
+    return moment.isoformat() if moment.time() != datetime.min.time() else moment.date().isoformat()
+
+
 def _sheets(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, col, value) of every filled cell of a workbook."""
+    """(sheet, row, col, value) of every filled cell of a workbook; dates as ISO text, whole numbers without a point."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
+        dates = _dates_of(z)
         for sheet in ElementTree.parse(z.open("xl/workbook.xml")).getroot().iterfind("m:sheets/m:sheet", _NS):
             target = rels[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
             for cell in ElementTree.parse(z.open(target if target.startswith("xl/") else f"xl/{target}")).getroot().iterfind(".//m:c", _NS):
-                place = re.match(r"([A-Z]+)(\d+)", cell.get("r"))
-                value = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t")) if cell.get("t") == "inlineStr" else cell.findtext("m:v", None, _NS)
-                if value not in (None, ""):
-                    yield sheet.get("name"), int(place[2]), column_index(place[1]), shared[int(value)] if cell.get("t") == "s" else value
+                place, kind, style = re.match(r"([A-Z]+)(\d+)", cell.get("r")), cell.get("t", "n"), int(cell.get("s", 0))
+                value = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else cell.findtext("m:v", None, _NS)
+                if value in (None, ""):
+                    continue
+                if kind == "s":
+                    value = shared[int(value)]
+                elif kind == "n" and style < len(dates) and dates[style]:
+                    value = _as_date(value)
+                elif kind == "n" and re.fullmatch(r"-?\d+\.0+", value):
+                    value = value.split(".")[0]
+                yield sheet.get("name"), int(place[2]), column_index(place[1]), value
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +159,19 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sheet string, row int, col int, value string")
 
 
+def list_sheets(cells: DataFrame) -> DataFrame:
+    """(file, sheet, n_rows, headings) of cells: how many rows below the first say anything, and the headings (array of struct(col, title))."""
+    rows = cells.where("row > 1").groupBy("file", "sheet").agg(F.countDistinct("row").alias("n_rows"))
+    heads = cells.where("row = 1").groupBy("file", "sheet").agg(F.array_sort(F.collect_list(F.struct("col", F.col("value").alias("title")))).alias("headings"))
+    none = F.array().cast("array<struct<col:int,title:string>>")
+    return heads.join(rows, ["file", "sheet"], "full").select("file", "sheet", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("headings", none).alias("headings"))
+
+
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """(file, sheet, row, values): the rows from the second on that say anything, as maps of column to cell."""
+    return cells.where("row > 1 AND trim(value) <> ''").groupBy("file", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("values"))
+
+
 def load_mapping(text: str) -> list[dict]:
     """Sheets of a mapping file: name, register, blanks, and fields as (field, [column numbers], constant).
 
@@ -109,7 +196,11 @@ def load_mapping(text: str) -> list[dict]:
 
 
 def dump_mapping(sheets: list[dict]) -> str:
-    """A mapping file's text; a second sheet of a register gets a numbered section."""
+    """A mapping file's text; a second sheet of a register gets a numbered section.
+
+    A proposal may carry, for each place, what is said about it ("notes": place to a comment), and headings that no field takes ("open": (column, title)), which
+    stand as lines to be filled in.
+    """
     seen: dict[str, int] = {}
     out = []
     letters = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
@@ -118,6 +209,8 @@ def dump_mapping(sheets: list[dict]) -> str:
         out.append(f"[{s['register']}{f'_{n}' if n > 1 else ''}]\nblatt = \"{s['name']}\"\n")
         for field, run, constant in s["fields"]:
             place = letters(run[0]) if len(run) == 1 else f"{letters(run[0])}-{letters(run[-1])}"
-            out.append(f'{place} = "{field}{f"={constant}" if constant else ""}"')
+            note = s.get("notes", {}).get(place)
+            out.append(f'{place} = "{field}{f"={constant}" if constant else ""}"' + (f"  # {note}" if note else ""))
+        out += [f'# {letters(col)} = "???"  # {title}' for col, title in s.get("open", [])]
         out.append("")
     return "\n".join(out)

@@ -113,3 +113,45 @@ def test_streaming_is_idempotent(spark, tmp_path):
     (source / "b.csv").write_text("datum,name\n1790,Eberle\n")
     assert len(run("one")) == 3
     assert len(run("two")) == 3  # everything once more, from the start
+
+
+def test_csv_files_of_several_kinds(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Name;Jahr\nMüller;1750\nHaag;\n".encode("utf-8-sig"))
+    (tmp_path / "b.csv").write_bytes("Name,Jahr\nGröße–Mayer,1751\n\"a,b\",1752\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes("Jahr;Ort\n1760;Urach\n".encode())
+    (tmp_path / "d.csv").write_bytes(("Name;Jahr\n" + "".join(f"n{i};{i}\n" for i in range(500))).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = tables.read_csv(spark, str(tmp_path), numbered=True)
+        got = {(r.file.rsplit("/", 1)[1], r.row): (r.Name, r.Jahr, r.Ort) for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got["a.csv", 2] == ("Müller", "1750", None) and got["a.csv", 3] == ("Haag", None, None)
+    assert got["b.csv", 2] == ("Größe–Mayer", "1751", None) and got["b.csv", 3] == ("a,b", "1752", None)
+    assert got["c.csv", 2] == (None, "1760", "Urach")
+    assert all(got["d.csv", i + 2] == (f"n{i}", str(i), None) for i in range(500)) and len(got) == 505
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "f.csv").write_text('a;b\n"x\ny";1\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "e"), multiline=True).collect()] == [("x\ny", "1")]
+
+
+def test_xlsx_dates_and_sheets(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Tote" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="dd\\.mm\\.yyyy"/><numFmt numFmtId="165" formatCode="0.00 &quot;dm&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        cells = '<c r="A2" s="1"><v>18264</v></c><c r="B2" s="2"><v>18264.5</v></c><c r="C2" s="3"><v>3.0</v></c><c r="D2"><v>18264</v></c>'
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Tag</t></is></c></row><row r="2">{cells}</row><row r="4"><c r="A4"><v>5</v></c></row></sheetData></worksheet>')
+    cells = tables.read_xlsx(spark, str(tmp_path / "d.xlsx"))
+    assert {r.col: r.value for r in cells.where("row = 2").collect()} == {0: "1950-01-01", 1: "1950-01-01T12:00:00", 2: "3", 3: "18264"}
+    sheet = tables.list_sheets(cells).first()
+    assert (sheet.sheet, sheet.n_rows, [tuple(h) for h in sheet.headings]) == ("Tote", 2, [(0, "Tag")])
+    assert {r.row: r["values"] for r in tables.sheet_rows(cells).collect()}[4] == {0: "5"}
+
+
+def test_mapping_with_remarks():
+    text = tables.dump_mapping([{"name": "B", "register": "tod", "fields": [("verstorbener_name", [0], None)], "notes": {"A": "sicher: Haag, Beck"}, "open": [(3, "Pest")]}])
+    assert 'A = "verstorbener_name"  # sicher: Haag, Beck' in text and '# D = "???"  # Pest' in text
+    assert tables.load_mapping(text)[0]["fields"] == [("verstorbener_name", [0], None)]
