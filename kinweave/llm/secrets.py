@@ -165,9 +165,9 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int
         marked = rows.withColumn("label", known_formats())
     else:
         marked = rows.join(labelled.where("label IS NOT NULL").groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"])
-    seen = bounded(marked.where("NOT held_out AND label IS NOT NULL").drop("cand"), F.struct("doc_id", "start"), sample)
-    weights = neighbour_weights(seen)
     own = [f for f in FEATURES if f != "s_neighbours"]
+    seen = bounded(marked.where("NOT held_out AND label IS NOT NULL").select("doc_id", "start", "label", "word1", "word2", "word3", *own), F.struct("doc_id", "start"), sample)
+    weights = neighbour_weights(seen)
     score = F.lit(1.0)
     if len({bool(r["label"]) for r in seen}) == 2:
         beside = [sum(weights.get(r[w], 0.0) for w in ("word1", "word2", "word3")) for r in seen]
