@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import materialise
+from kinweave.llm.common import materialise, scope
 from kinweave.llm.exact_dedup import keep_first
 from kinweave.llm.mixing import mixed
 from kinweave.llm.near_dedup import keep_one
@@ -52,10 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents, each written and read again."""
+    """All stages over the whole of documents, each written and read again; what a stage has written for itself goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scope(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

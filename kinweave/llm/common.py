@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise  # noqa: F401  the operators cut their lineage with it
+from ..sources.shared import materialise, scope  # noqa: F401  the operators cut their lineage with it
 
 #: White space of every word and normalisation rule here, as the inside of a regular expression class.
 SPACE = r"\x20\x09-\x0D"

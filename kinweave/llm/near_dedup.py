@@ -260,9 +260,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows (same doc_id and text) one stays. Of classes without any doc_id one row of each text stays.
     """
-    found = jaccard_classes(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", F.col("class_id").alias("stay_id")).distinct()
+    found = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stays = materialise(found.groupBy("key", F.col("class_id").alias("stay_id")).agg(F.count("*").alias("rows")), "stays")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", text_key(F.coalesce(F.col("row.text"), F.lit(""))))
-    kept = marked.join(stays, (marked["key"] == stays["key"]) & F.col("row.doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    met = (marked["key"] == stays["key"]) & F.col("row.doc_id").eqNullSafe(F.col("stay_id"))
+    if stays.where("rows > 1").isEmpty():
+        return marked.join(stays, met, "left_semi").select("row.*")
     # Repeated rows are equal in text and number; the first of each task is kept before they meet.
-    return kept.groupBy("key", F.col("row.doc_id").alias("id")).agg(F.first("row").alias("row")).select("row.*")
+    kept = marked.join(stays.withColumnRenamed("key", "of"), (marked["key"] == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("stay_id")))
+    again = kept.where("rows > 1").groupBy("of", "stay_id").agg(F.first("row").alias("row"))
+    return kept.where("rows = 1").select("row").union(again.select("row")).select("row.*")
