@@ -25,8 +25,9 @@ c = F.col
 
 def phonetic_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of the distinct names of two frames (name) that share a phonetic key. Names are taken once, however many rows bear them."""
-    a = left.select("name").distinct().select(c("name").alias("a"), koelner(c("name")).alias("key"))
-    b = right.select("name").distinct().select(c("name").alias("b"), koelner(c("name")).alias("key"))
+    # A generator keeps the optimiser from writing the key out again in filters and in the join.
+    keyed = lambda df, as_: df.select("name").distinct().select(c("name").alias(as_), F.explode(F.array(koelner(c("name")))).alias("key"))
+    a, b = keyed(left, "a"), keyed(right, "b")
     return a.where("key <> ''").join(b, "key").select("a", "b")
 
 
