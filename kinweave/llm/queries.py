@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .anomalies import judge
 from .common import materialise, text_of
 from .exact_dedup import exact_dedup, normalised
+from .hard_negatives import mine_hard_negatives, quantised
 from .licences import scan_licences
 from .mixing import measured, mix_measured
 from .near_dedup import jaccard_classes
 from .pieces import Vocabulary, recode
+from .pii import find_pii
 from .quality import score_quality
+from .ranked_search import search
 from .secrets import scan_secrets
 from .sharding import external_shuffle, record_size
 from .url_filter import filter_urls
@@ -85,4 +88,29 @@ def op10_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_piece_codec, op4_sharding, op5_secret_forest, op6_isolation_forest, op7_url_reputation, op8_mixing, op9_jaccard_join, op10_licence_templates)}
+def op11_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: the base patterns' spans, and those that the tagger adds."""
+    out = find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's ten best documents."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor, a hundredth of the vectors, for each of its positives."""
+    # A seventh of the labels is wrong on purpose, so that near rows of another label exist.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), quantised(F.col("embedding")).alias("vector"))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_quality_rules, op3_piece_codec, op4_sharding, op5_secret_forest, op6_isolation_forest, op7_url_reputation, op8_mixing, op9_jaccard_join, op10_licence_templates, op11_pii_tagger,
+        op12_ranked_search, op13_hard_negatives,
+    )
+}
