@@ -85,7 +85,7 @@ class _Block:
             v = np.frombuffer(vectors[i], f"i{vectors[i][0]}", offset=1)
             self.vectors[n, : len(v)] = v
         marks = table["summary"].to_pylist()
-        marks = np.array([np.frombuffer(marks[i], np.float32) for i in order], np.float64).reshape(len(order), -1)
+        marks = np.array([np.frombuffer(marks[i], np.float32) for i in order], np.float64).reshape(len(order), 2 * sum(min(x, width) for x in LEVELS))
         self.levels, at = [], 0
         for segments in LEVELS:
             n = min(segments, width)
