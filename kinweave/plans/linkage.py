@@ -228,8 +228,8 @@ def block_phonetic_join(spark, sf_dir):
     return L.phonetic_pairs(_name_words(spark, sf_dir), tokens(spark, sf_dir)).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first"))
 
 
-_BUCKET = f"""bp AS (SELECT a, b FROM (SELECT x.name AS a, y.name AS b FROM nw x JOIN dt y ON x.name[1:2] = y.name[1:2] AND abs(length(x.name) // 2 - length(y.name) // 2) <= 1 AND length(x.name) >= 5 AND length(y.name) >= 5)
-  JOIN keys ka ON ka.name = a JOIN keys kb ON kb.name = b WHERE {_SIMILAR} OR ka.key = kb.key)"""
+_BUCKET = f"""nk AS MATERIALIZED (SELECT nw.name, key, nw.name[1:2] AS start FROM nw JOIN keys ON keys.name = nw.name WHERE length(nw.name) >= 5), dk AS MATERIALIZED (SELECT dt.name, key, dt.name[1:2] AS start FROM dt JOIN keys ON keys.name = dt.name WHERE length(dt.name) >= 5),
+bp AS (SELECT a, b FROM (SELECT x.name AS a, y.name AS b, x.key AS ka, y.key AS kb FROM nk x JOIN dk y ON x.start = y.start AND abs(length(x.name) // 2 - length(y.name) // 2) <= 1) WHERE {_SIMILAR} OR ka = kb)"""
 
 
 @query(f"WITH nw AS ({_WORDS}), dt AS ({_TOKENS}), " + koelner_sql("SELECT name FROM nw UNION SELECT name FROM dt") + f", {_BUCKET} SELECT a, b FROM bp")
