@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import independent
 from ..functions.stats import pair_count, ratio, wilson
 
 c = F.col
@@ -95,6 +96,19 @@ def sample_strata(families: DataFrame, strata: list[tuple[str, object, int]], se
     return drawn.where(c("nr") <= F.element_at(most, c("stratum"))).select("family_id", "stratum")
 
 
+def sample_disjoint(families: DataFrame, entries: DataFrame, strata: list[tuple[str, object, int]], seed: int = 1, least: int = 2) -> DataFrame:
+    """(family_id, stratum): a stratified draw, like :func:`sample_strata`, of families that share no entry with one another.
+
+    ``entries`` has family_id and entry; families of fewer than ``least`` entries are left out, as nothing has been linked there. A largest set of families without a common entry is
+    found first (:func:`kinweave.operators.graph.independent`), over all of them, and the strata draw from it: so that one stratum's draw never blocks another's.
+    """
+    of = entries.where("family_id IS NOT NULL AND entry IS NOT NULL").select("family_id", "entry").distinct()
+    enough = of.groupBy("family_id").agg(F.count("*").alias("n")).where(c("n") >= least).select("family_id")
+    fit = families.join(enough, "family_id", "left_semi")
+    apart = independent(fit.select(c("family_id").alias("id")).join(of.select(c("family_id").alias("id"), c("entry").alias("member")), "id"), seed)
+    return sample_strata(fit.join(apart.withColumnRenamed("id", "family_id"), "family_id", "left_semi"), strata, seed)
+
+
 def first_of_year(entries: DataFrame, k: int) -> DataFrame:
     """The k entries (key, year, entry_id) of the smallest ids of each key and year."""
     w = Window.partitionBy("key", "year").orderBy("entry_id")

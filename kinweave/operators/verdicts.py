@@ -18,9 +18,10 @@ KINDS = {"tauf": "Tau", "trau": "Tra", "heirat": "Tra", "ehe": "Tra", "begr": "B
 AGE = r"^\s*\(\s*(\d{1,3})\s*J(?:ahre?)?\.?(?:\s*(\d{1,2})\s*M)?(?:\s*(\d{1,2})\s*T)?"
 
 
-def candidate_text(candidates: Column) -> Column:
-    """The cell of a review list that names candidates (array of struct(ident, points, reason, key)): a line for each, then their keys after #."""
-    said = F.transform(candidates, lambda x: F.concat(F.lit("["), x["ident"].cast("string"), F.lit("] ("), x["points"].cast("string"), F.lit(" P.: "), F.coalesce(x["reason"], F.lit("")), F.lit(")")))
+def candidate_text(candidates: Column, who: str | None = None) -> Column:
+    """The cell of a review list that names candidates (array of struct(ident, points, reason, key)): a line for each, then their keys after #. ``who`` is a field of theirs with what stands for [ident]."""
+    name = lambda x: x[who] if who else F.concat(F.lit("["), x["ident"].cast("string"), F.lit("]"))
+    said = F.transform(candidates, lambda x: F.concat(name(x), F.lit(" ("), x["points"].cast("string"), F.lit(" P.: "), F.coalesce(x["reason"], F.lit("")), F.lit(")")))
     keys = F.transform(candidates, lambda x: F.concat_ws("=", x["ident"].cast("string"), F.coalesce(x["key"], F.lit(""))))
     return F.concat(F.array_join(said, "\n"), F.lit("\n#"), F.array_join(keys, ";"))
 

@@ -355,6 +355,59 @@ def linkage_components(spark, sf_dir):
     return L.link_set_based(linked, o.select(c("o_orderkey").alias("id")), graph.components)
 
 
+#: Orders as mentions: each names the customer of the order before it of its day; its price tells how well that is known.
+_EVIDENCE = """SELECT who, whom, CAST(points AS INT) AS points, CASE WHEN anchored THEN 'sicher' ELSE 'wahrscheinlich' END AS stage, CASE WHEN anchored THEN 'Vorname, Vater' ELSE 'Vorname' END AS reason FROM (
+  SELECT CAST(o_custkey AS BIGINT) AS who, CAST(lag(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS BIGINT) AS whom, 100 + floor(o_totalprice / 20000) AS points, o_orderstatus = 'F' AS anchored, o_orderkey % 4 AS kept FROM {orders}) x
+  WHERE whom IS NOT NULL AND who <> whom AND kept = 0"""
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED ({_EVIDENCE.format(orders='orders')}),
+b AS MATERIALIZED (SELECT a, b, max(CASE WHEN stage = 'sicher' THEN 4000 ELSE 2000 END + points) AS strength FROM (SELECT who AS a, whom AS b, stage, points FROM s UNION ALL SELECT whom, who, stage, points FROM s) GROUP BY a, b),
+c AS (SELECT a AS id, a AS root FROM b UNION SELECT c.id, b.b FROM c JOIN b ON b.a = c.root),
+m AS MATERIALIZED (SELECT c_custkey AS id, coalesce(min(root), c_custkey) AS identity FROM customer LEFT JOIN c ON c.id = c_custkey GROUP BY c_custkey),
+w AS (SELECT id, 99999 AS strength FROM m WHERE id = identity UNION SELECT b.b, least(w.strength, b.strength) FROM w JOIN b ON b.a = w.id),
+k AS (SELECT id, max(strength) AS strength FROM w GROUP BY id)
+SELECT m.id, identity, CASE WHEN m.id = identity THEN 'neu' WHEN strength > 4000 THEN 'sicher' ELSE 'wahrscheinlich' END AS stage, CASE WHEN m.id = identity THEN 0 ELSE strength % 2000 END::INT AS points,
+  CASE WHEN m.id = identity THEN '' WHEN strength > 4000 THEN 'Vorname, Vater' ELSE 'Vorname' END AS reason
+FROM m JOIN k USING (id)""")
+def linkage_stages(spark, sf_dir):
+    """Customers tied by the orders of a day: identity, and stage, points and reason of the weakest link between each one and the first, on the strongest way there is."""
+    s = spark.sql(_EVIDENCE, orders=table(spark, sf_dir, "orders"))
+    ids = table(spark, sf_dir, "customer").select(c("c_custkey").cast("long").alias("id"))
+    roots = graph.components(s.select(c("who").alias("a"), c("whom").alias("b")))
+    links = materialise(ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("identity")), "links")
+    edges = s.select("who", "whom", families._strength(c("stage"), c("points")).alias("strength"), "stage", "points", F.split("reason", ", ").alias("reasons"))
+    decided = edges.select("who", "whom", "points", "reasons", F.lit(None).cast("int").alias("lead"), "stage", F.array().cast(families._ALTERNATIVES).alias("alternatives"))
+    return families.evidence_of(ids, links, decided, edges).select("id", "identity", "stage", "points", "reason")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS who, o_custkey + d AS whom, 100 + (o_orderkey * 7 + d * 13) % 9 * 10 AS points, (o_orderkey + d) % 3 = 0 AS anchor FROM orders, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS d) WHERE (o_orderkey + d * d) % 4 > 0),
+r AS (SELECT *, row_number() OVER w AS nr, lead(points) OVER w AS next FROM s WHERE points >= 120 WINDOW w AS (PARTITION BY who ORDER BY points DESC, whom)),
+f AS (SELECT * FROM r WHERE nr = 1)
+SELECT f.who, CASE WHEN coalesce(f.points - f.next < 30, false) THEN NULL ELSE f.whom END AS whom, f.points::INT AS points, (f.points - f.next)::INT AS lead,
+  CASE WHEN coalesce(f.points - f.next < 30, false) THEN 'unsicher' WHEN f.anchor AND coalesce(f.points - f.next >= 50, true) THEN 'sicher' ELSE 'wahrscheinlich' END AS stage,
+  coalesce((SELECT string_agg(whom || ':' || points, ' ' ORDER BY nr) FROM r WHERE r.who = f.who AND nr <= 4 AND (nr > 1 OR coalesce(f.points - f.next < 30, false))), '') AS alternatives
+FROM f""")
+def decide_with_evidence(spark, sf_dir):
+    """Orders that choose among customers: the choice with its lead, stage and alternatives, or a tie with all that are tied."""
+    k, d = c("o_orderkey"), c("d")
+    s = table(spark, sf_dir, "orders").withColumn("d", F.explode(F.array(*map(F.lit, range(6))))).where((k + d * d) % 4 > 0)
+    s = s.select(k.alias("who"), (c("o_custkey") + d).alias("whom"), (100 + (k * 7 + d * 13) % 9 * 10).cast("int").alias("points"), families.why(Vorname=F.lit(True), Vater=(k + d) % 3 == 0).alias("reasons"))
+    told = F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["id"], x["points"])), " ")
+    return families.settle(s, 120).select("who", "whom", "points", "lead", "stage", told.alias("alternatives"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT c_custkey AS child, 1 + (c_custkey * 11 + 1) % (SELECT count(*) FROM customer) AS parent FROM customer WHERE c_custkey % 30 > 0),
+r AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON e.child = r.parent)
+SELECT a.child AS id, min(a.parent) AS root FROM r a JOIN r b ON b.child = a.parent AND b.parent = a.child GROUP BY a.child""")
+def strong_components(spark, sf_dir):
+    """Customers who, by a made-up descent, are their own ancestors, with the smallest of their cycle."""
+    k = table(spark, sf_dir, "customer").select(c("c_custkey").alias("child"))
+    n = k.agg(F.count("*").alias("n"))
+    edges = k.where("child % 30 > 0").join(F.broadcast(n)).select("child", (1 + (c("child") * 11 + 1) % c("n")).alias("parent"))
+    return graph.strong_components(edges)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 2 UNION SELECT DISTINCT c_custkey, c_custkey // 5 + 1 FROM customer WHERE c_custkey > 10),
 r AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON e.child = r.parent)
 SELECT child AS person_id, count(*) AS n_ancestors, min(parent) AS first FROM r GROUP BY child""")

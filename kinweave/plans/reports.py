@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.names import markers
 from ..functions.stats import wilson
 from ..operators import evaluate as E
+from ..operators import graph
 from ..operators import reports as R
+from ..sources.shared import materialise
 from .frames import CHILD, table
 
 QUERIES: dict = {}
@@ -114,6 +116,22 @@ def sample_strata(spark, sf_dir):
     return E.sample_strata(f, [("rich", c("o_totalprice") > 300000, 20), ("urgent", F.startswith("o_orderpriority", F.lit("1")), 30), ("done", c("o_orderstatus") == "F", 10)])
 
 
+@query("""SELECT 0::BIGINT AS n_shared, 0::BIGINT AS n_addable, 0::BIGINT AS n_short, count(*) > 0 AS any_families FROM orders""")
+def sample_disjoint(spark, sf_dir):
+    """Customers as families whose lines' parts are their entries: of the largest set without a common entry none share one, none can be added, and none that is drawn from it has less than two."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), c("l_orderkey") == c("o_orderkey"))
+    entries = materialise(lines.select(c("o_custkey").alias("family_id"), F.struct("l_partkey", F.year("l_shipdate"), F.month("l_shipdate")).alias("entry")).distinct(), "entries")
+    fit = entries.groupBy("family_id").agg(F.count("*").alias("n")).where("n >= 2").select("family_id")
+    apart = graph.independent(entries.join(fit, "family_id", "left_semi").select(c("family_id").alias("id"), c("entry").alias("member")))
+    drawn = materialise(E.sample_disjoint(fit, entries, [("even", c("family_id") % 2 == 0, 10), ("odd", c("family_id") % 2 == 1, 20)]), "drawn")
+    taken = materialise(entries.join(apart.select(c("id").alias("family_id")), "family_id"), "taken")
+    shared = taken.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
+    free = fit.join(taken.select("family_id").distinct(), "family_id", "left_anti").join(entries.join(taken.select("entry").distinct(), "entry", "left_semi").select("family_id").distinct(), "family_id", "left_anti")
+    short = drawn.join(entries.groupBy("family_id").agg(F.count("*").alias("n")), "family_id").where("n < 2")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(shared, "n_shared").join(one(free, "n_addable")).join(one(short, "n_short")).join(fit.agg((F.count("*") > 0).alias("any_families")))
+
+
 @query("""WITH f AS (SELECT c_custkey AS family_id, c_custkey % 50 AS key, 1995 + c_custkey % 3 AS a, 1998 + c_custkey % 4 AS b FROM customer), e AS (SELECT o_orderkey AS entry_id, o_custkey % 50 AS key, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 7 = 0)
 SELECT family_id, entry_id, row_number() OVER w AS nr FROM f JOIN e USING (key) WHERE y BETWEEN a AND b WINDOW w AS (PARTITION BY family_id ORDER BY abs(2 * y - a - b), entry_id) QUALIFY nr <= 4""".replace("QUALIFY nr <= 4", "QUALIFY row_number() OVER w <= 4"))
 def sample_top4_candidates(spark, sf_dir):

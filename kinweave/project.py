@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.stats import ratio
-from .operators import families
+from .operators import families, verdicts
 from .operators.ingest import to_entries, to_fields
 from .operators.mentions import build_mentions
 from .sources import export, gedcom
@@ -22,7 +22,7 @@ c = F.col
 class Project:
     """The tables of a project; entries are numbered by their sheet and row, so that a row keeps its number from build to build.
 
-    mentions: as :func:`kinweave.operators.families.linkable` gives them, with source and page; sources: source, title; links and families: see
+    mentions: as :func:`kinweave.operators.families.linkable` gives them, with source, page and stable_key (file, sheet, row and role); sources: source, title; links and families: see
     :func:`kinweave.operators.families.link_families`, null until linked.
     """
 
@@ -48,23 +48,30 @@ def build(cells: DataFrame, sheets: list[dict], project: int = 0) -> Project:
             rows = rows.select((F.lit(n).cast("long") * (1 << 32) + c("row")).alias("entry"), *[F.try_element_at("v", F.lit(col)).alias(f"c{col}") for col in columns])
             fields = to_fields(rows, [(field, [f"c{col}" for col in run], constant) for field, run, constant in s["fields"]], s["blanks"])
             entries.append(to_entries(fields, s["register"]))
-            titles.append((n, f"{file.rsplit('/', 1)[-1]}, {name} ({s['register']})"))
-    sources = spark.createDataFrame(titles, "source long, title string")
+            titles.append((n, file, name, f"{file.rsplit('/', 1)[-1]}, {name} ({s['register']})"))
+    all_sheets = spark.createDataFrame(titles, "source long, file string, sheet string, title string")
+    sources = all_sheets.select("source", "title")
     if not entries:
         empty = to_entries(spark.createDataFrame([], "entry long, field string, value string, raw string"), "tod")
         entries = [empty]
     all_ = reduce(DataFrame.union, entries)
     said = lambda name: F.try_element_at("fields", F.lit(name))["value"]
     cited = all_.select("entry", said("zitat").alias("citation"), said("kb").alias("kb"), said("seite").alias("page"), said("lfd_nr").alias("number"), F.shiftright("entry", 32).alias("of"), c("entry").bitwiseAND((1 << 32) - 1).cast("string").alias("row"))
-    books = sources.groupBy(c("source").alias("of")).agg(F.min("title").alias("source"))
-    cited = cited.join(books, "of", "left").select("entry", c("of").alias("source"), gedcom.citation().alias("page"))
-    m = families.linkable(build_mentions(all_), F.lit(project)).join(cited, "entry")
+    books = all_sheets.groupBy(c("source").alias("of")).agg(F.min("title").alias("source"), F.first("file").alias("file"), F.first("sheet").alias("sheet"))
+    cited = cited.join(books, "of", "left").select("entry", c("of").alias("source"), gedcom.citation().alias("page"), F.concat_ws("|", "file", "sheet", "row").alias("stable_key"))
+    m = families.linkable(build_mentions(all_), F.lit(project)).join(cited, "entry").withColumn("stable_key", F.concat_ws("|", "stable_key", "path"))
     return Project(materialise(m, "mentions"), sources)
 
 
 def link(project: Project, decisions: DataFrame | None = None, pin: bool = False) -> Project:
-    """The project with its links and families, under human decisions if there are any."""
-    links, found = families.link_families(project.mentions, decisions, pin)
+    """The project with its links and families, under human decisions (key, kind, target: a key) if there are any.
+
+    Decisions name mentions by key, so that they hold after a rebuild; those of keys that are no longer there count for nothing.
+    """
+    if decisions is not None:
+        ids = project.mentions.select(c("stable_key").alias("key"), "id")
+        decisions = decisions.select("key", "kind", c("target").alias("to")).join(ids, "key").join(ids.select(c("key").alias("to"), c("id").alias("target")), "to", "left").select("id", "kind", "target")
+    links, found = families.link_families(project.mentions, decisions, pin, evidence=True)
     return Project(project.mentions, project.sources, links, materialise(found, "families"))
 
 
@@ -76,6 +83,57 @@ def status(project: Project) -> DataFrame:
     return f.join(m.withColumn("one", F.lit(1)), "one").join(i.withColumn("one", F.lit(1)), "one").select("entries", "mentions", "identities", "families", "wedded", "children", "nameless", ratio(c("nameless"), c("mentions")).alias("share_nameless"))
 
 
+#: The columns of a review list.
+REVIEW = ("FALL", "SCHLUESSEL", "REGISTER", "JAHR", "FUNDSTELLE", "ROLLE", "NENNUNG", "STUFE", "WAHL", "BEGRUENDUNG", "KANDIDATEN", "BISHER", "URTEIL", "BEMERKUNG")
+
+
+def persons(project: Project) -> DataFrame:
+    """(identity, who, key, second): each identity as lists show it, number, name, years of birth and death, and the keys of its first two mentions."""
+    m = project.mentions.join(project.links.select("id", "identity"), "id")
+    named = lambda x, order: F.min_by(x, F.struct(c(x).isNull(), *order))
+    birth = F.min(F.when(c("path") == "kind", F.coalesce("birth.y", "date.y")))
+    one = m.groupBy("identity").agg(
+        named("name", ["id"]).alias("name"), named("given_name", ["id"]).alias("given"), F.coalesce(birth, F.min("birth.y")).alias("born"), F.min(F.when(c("path") == "verstorbener", c("date.y"))).alias("died"),
+        F.min(F.coalesce("unknown", F.lit(False))).alias("unknown"), F.min(F.struct("id", "stable_key")).alias("low"),
+    )
+    second = m.join(one.select("identity", c("low.id").alias("low_id")), "identity").where("id > low_id").groupBy("identity").agg(F.min(F.struct("id", "stable_key"))["stable_key"].alias("second"))
+    said = lambda x, none: F.coalesce(c(x).cast("string"), F.lit(none))
+    who = F.concat(F.lit("["), c("identity").cast("string"), F.lit("] "), F.coalesce("name", F.when(c("unknown"), "NN").otherwise("-")), F.lit(", "), said("given", "-"), F.lit(" *"), said("born", "?"), F.lit(" †"), said("died", "?"))
+    return one.join(second, "identity", "left").select("identity", who.alias("who"), c("low.stable_key").alias("key"), "second")
+
+
+def review(project: Project, decisions: DataFrame | None = None, everything: bool = False) -> DataFrame:
+    """The mentions to be looked at, with the columns of :data:`REVIEW`, in order of their year: links that are unsicher, those left open between others, and whatever has been decided; all that are
+    wahrscheinlich too, if ``everything`` is asked for. What is written into URTEIL is read by :func:`decide`.
+    """
+    none = project.links.sparkSession.createDataFrame([], "key string, kind string, target string")
+    told = (none if decisions is None else decisions).select("key", c("kind").alias("said"), F.concat_ws(" ", "kind", "target").alias("before"))
+    m = project.mentions.select("id", "entry", c("stable_key").alias("key"), "register", "path", "page", c("date.y").alias("year"), F.concat_ws(", ", "name", "given_name").alias("text"))
+    rows = m.join(project.links, "id").join(told, "key", "left")
+    seen = (c("stage") == "unsicher") | ((c("stage") == "neu") & (F.size("alternatives") > 0)) | c("said").isNotNull()
+    rows = materialise(rows.where(seen | (c("stage") == "wahrscheinlich") if everything else seen), "review")
+    known = persons(project)
+    own = F.array(F.struct("identity", "points", "reason"))
+    of = rows.select("id", "key", F.posexplode(F.when(c("stage") == "neu", c("alternatives")).otherwise(F.concat(own, c("alternatives")))).alias("nr", "x"))
+    of = of.select("id", "nr", "x.*", c("key").alias("mine")).join(known.withColumnRenamed("key", "first"), "identity")
+    key = F.when(c("first") != c("mine"), c("first")).otherwise(c("second"))
+    of = of.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nr", c("identity").alias("ident"), "points", "reason", key.alias("key"), "who"))).alias("near"))
+    rows = rows.join(of, "id", "left").join(known.select("identity", "who"), "identity")
+    case = F.concat(c("register"), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("?")), F.lit(" · "), c("page"), F.lit(" · "), c("path"))
+    choice = F.when(c("stage") == "neu", "eigene Person (unentschieden)").otherwise(c("who"))
+    blank = F.lit("")
+    cells = (case, c("key"), c("register"), c("year"), c("page"), c("path"), c("text"), c("stage"), choice, c("reason"), verdicts.candidate_text(F.coalesce("near", F.array().cast(rows.schema["near"].dataType)), "who"), F.coalesce("before", blank), blank, blank)
+    return rows.orderBy(c("year").asc_nulls_first(), "entry", "id").select(*[x.alias(n) for x, n in zip(cells, REVIEW, strict=True)])
+
+
+def decide(project: Project, sheet: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """``decisions`` (key, kind, target) after the verdicts that people have written into URTEIL of a review list (see :func:`review`)."""
+    said = sheet.select(c("SCHLUESSEL").alias("key"), c("URTEIL").alias("verdict"), c("KANDIDATEN").alias("candidates"))
+    known = project.mentions.select("id", c("stable_key").alias("key")).join(project.links.select("id", c("identity").alias("ident")), "id").select("key", "ident")
+    none = sheet.sparkSession.createDataFrame([], "key string, kind string, target string")
+    return verdicts.apply_verdicts(none if decisions is None else decisions, verdicts.read_verdicts(said, known))
+
+
 def write_gedcom(project: Project, path: str, participants: DataFrame | None = None, notes: DataFrame | None = None) -> None:
     """The linked project as text files below ``path`` that, one after another, are a GEDCOM."""
     export.write_records(export.linked_records(project.mentions, project.links, project.families, project.sources, participants, notes), path)

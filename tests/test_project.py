@@ -72,3 +72,69 @@ def test_from_sheets_to_a_checked_tree(spark, tmp_path):
 def test_empty_project(spark):
     p = project.link(project.build(cells(spark).where("row > 99"), tables.load_mapping(MAPPING)))
     assert p.mentions.count() == 0 and project.status(p).first().identities == 0
+
+
+WEDDINGS = [("1758-05-10", "Kiefer", "Friedrich", "Burckhardt", "Catharina"), ("1767-02-03", "Kiefer", "Friedrich", "Haas", "Catharina")]
+TWICE = """
+[ehe]
+blatt = "Ehen"
+A = "trauung_datum"
+B = "braeutigam_name"
+C = "braeutigam_vorname"
+D = "braut_name"
+E = "braut_vorname"
+
+[taufe]
+blatt = "Taufen"
+A = "tauf_datum"
+B = "kind_name"
+C = "kind_vorname"
+D = "vater"
+E = "mutter"
+
+[tod]
+blatt = "Tote"
+A = "sterbe_datum"
+B = "verstorbener_name"
+C = "verstorbener_vorname"
+D = "verstorbener_ehepartner"
+"""
+
+
+def twice(spark, dead=()):
+    sheets = {"Ehen": WEDDINGS, "Taufen": [("1770-03-01", "Kiefer", "Johann", "Kiefer, Friedrich", "N., Catharina")], "Tote": dead}
+    rows = [("r.xlsx", sheet, i + 2, j, v) for sheet, table in sheets.items() for i, line in enumerate(table) for j, v in enumerate(line) if v]
+    return project.build(spark.createDataFrame(rows, "file string, sheet string, row int, col int, value string"), tables.load_mapping(TWICE))
+
+
+def wedding_of_the_child(p):
+    kid = p.mentions.where("path = 'kind'").join(p.links.select("id", "identity"), "id").first().identity
+    return p.families.where(F.array_contains("children", kid)).first().wedding
+
+
+def test_a_tie_is_left_open_reviewed_and_decided(spark):
+    p = project.link(twice(spark))
+    assert wedding_of_the_child(p) is None  # of neither marriage
+    mother = p.mentions.where("path = 'mutter'").join(p.links, "id").first()
+    assert mother.stage == "neu" and "offen" in mother.reason and len(mother.alternatives) == 2
+    names = p.mentions.join(p.links, "id").where(c("identity").isin([a.identity for a in mother.alternatives])).select("name").distinct().collect()
+    assert {r.name for r in names} == {"Burckhardt", "Haas"}
+    listed = project.review(p)
+    assert listed.columns == list(project.REVIEW)
+    row = listed.where("ROLLE = 'mutter'").first()
+    assert row.STUFE == "neu" and row.WAHL == "eigene Person (unentschieden)" and row.SCHLUESSEL == "r.xlsx|Taufen|2|mutter" and row.JAHR == 1770
+    first = next(line for line in row.KANDIDATEN.split("\n") if "Burckhardt, Catharina" in line)
+    number = first[1 : first.index("]")]
+    sheet = listed.withColumn("URTEIL", F.when(c("ROLLE") == "mutter", number).otherwise(""))
+    decisions = project.decide(p, sheet)
+    assert [tuple(r) for r in decisions.collect()] == [("r.xlsx|Taufen|2|mutter", "gleich", "r.xlsx|Ehen|2|braut")]
+    again = project.link(twice(spark), decisions)  # a rebuild: keys stay
+    assert wedding_of_the_child(again).y == 1758 and again.families.where("husband IS NOT NULL").count() == 2
+    told = again.mentions.where("path = 'mutter'").join(again.links, "id").first()
+    assert (told.stage, told.points, told.reason) == ("sicher", 999, "von Hand bestaetigt")
+    assert project.review(again, decisions).where("ROLLE = 'mutter'").first().BISHER == "gleich r.xlsx|Ehen|2|braut"
+
+
+def test_the_first_wifes_death_decides(spark):
+    p = project.link(twice(spark, [("1766-08-20", "Burckhardt", "Catharina", "Kiefer, Friedrich")]))
+    assert wedding_of_the_child(p).y == 1767
