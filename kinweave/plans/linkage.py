@@ -397,15 +397,16 @@ def decide_with_evidence(spark, sf_dir):
     return families.settle(s, 120).select("who", "whom", "points", "lead", "stage", told.alias("alternatives"))
 
 
-@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT c_custkey AS child, 1 + (c_custkey * 11 + 1) % (SELECT count(*) FROM customer) AS parent FROM customer WHERE c_custkey % 30 > 0),
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), e AS MATERIALIZED (
+  SELECT c_custkey AS child, 1 + (c_custkey * 11 + 1) % n AS parent FROM customer, n WHERE c_custkey % 4 > 0 UNION SELECT c_custkey, 1 + (c_custkey * 37 + 5) % n FROM customer, n WHERE c_custkey % 3 > 0),
 r AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON e.child = r.parent)
 SELECT a.child AS id, min(a.parent) AS root FROM r a JOIN r b ON b.child = a.parent AND b.parent = a.child GROUP BY a.child""")
 def strong_components(spark, sf_dir):
-    """Customers who, by a made-up descent, are their own ancestors, with the smallest of their cycle."""
+    """Customers who, by a descent reckoned from their numbers, are their own ancestors, with the smallest of their component."""
     k = table(spark, sf_dir, "customer").select(c("c_custkey").alias("child"))
-    n = k.agg(F.count("*").alias("n"))
-    edges = k.where("child % 30 > 0").join(F.broadcast(n)).select("child", (1 + (c("child") * 11 + 1) % c("n")).alias("parent"))
-    return graph.strong_components(edges)
+    k = k.join(F.broadcast(k.agg(F.count("*").alias("n"))))
+    of = lambda kept, factor, plus: k.where(c("child") % kept > 0).select("child", (1 + (c("child") * factor + plus) % c("n")).alias("parent"))
+    return graph.strong_components(of(4, 11, 1).union(of(3, 37, 5)))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 2 UNION SELECT DISTINCT c_custkey, c_custkey // 5 + 1 FROM customer WHERE c_custkey > 10),
