@@ -40,6 +40,7 @@ ATTRIBUTES_OF = {
     "braeutigam": ("", "name", "vorname", "beruf", "beruf_ort", "herkunft", "alter", "geburt_datum", "geburt_ort", "stand", "konfession", "bemerkung", "ref"),
     "braut": ("", "name", "vorname", "beruf", "beruf_ort", "herkunft", "alter", "geburt_datum", "geburt_ort", "stand", "konfession", "bemerkung", "ref"),
     "verstorbener": ("", "name", "vorname", "geschlecht", "beruf", "beruf_ort", "herkunft", "alter", "stand", "konfession", "bemerkung", "ref"),
+    "ehepartner": ("", "name", "vorname", "geschlecht", "beruf", "beruf_ort", "bemerkung", "ref"), "vorehe": ("", "name", "vorname", "beruf", "beruf_ort", "herkunft", "bemerkung", "ref"),
 }
 #: Fields without a role, of all registers and of each.
 GENERAL = (
@@ -69,13 +70,13 @@ OWN = {
 
 
 def fields_of(register: str) -> list[tuple[str, str | None, str, list[str]]]:
-    """(name, role path, kind, synonyms) of a register's fields, roles first; a field without a role has no path."""
+    """(name, role path, kind, synonyms) of a register's fields: roles first, then its own fields, then those of all registers; a field without a role has no path. Partners and former marriages have fields of their own, other sub-roles one list."""
     kinds = {name: (kind, syn) for name, kind, syn in ATTRIBUTES}
     out = []
     for role in MAIN_ROLES[register]:
-        for path, names in [(role, ATTRIBUTES_OF[role]), *((f"{role}_{sub}", _SUB) for sub in SUB_ROLES[role])]:
+        for path, names in [(role, ATTRIBUTES_OF[role]), *((f"{role}_{sub}", ATTRIBUTES_OF.get(sub if sub in ("ehepartner", "vorehe") else "", _SUB)) for sub in SUB_ROLES[role])]:
             out += [(f"{path}_{n}" if n else path, path, *kinds[n]) for n in names]
-    return out + [(n, None, k, s) for n, k, s in (*GENERAL, *OWN[register])]
+    return out + [(n, None, k, s) for n, k, s in (*OWN[register], *GENERAL)]
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
