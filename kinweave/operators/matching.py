@@ -96,8 +96,8 @@ def is_snake(text: Column) -> Column:
     return F.contains(text, F.lit("_")) & ~F.contains(F.trim(text), F.lit(" "))
 
 
-def detect_register(sheets: DataFrame) -> DataFrame:
-    """(sheet, register) of sheets (sheet, file, headings array): the register whose words the names and headings carry most often; null if none."""
+def detect_register(sheets: DataFrame, key: str = "sheet") -> DataFrame:
+    """(key, register) of sheets (key, sheet, file, headings array): the register whose words the names and headings carry most often; null if none."""
     words = F.split(F.concat_ws(" ", normal(c("sheet")), normal(c("file")), F.array_join(F.transform("headings", normal), " ")), " ")
     def points(register: str) -> Column:
         ws = REGISTER_WORDS[register]
@@ -110,7 +110,7 @@ def detect_register(sheets: DataFrame) -> DataFrame:
     pick = F.when(best == 0, None)
     for r in REGISTER_WORDS:
         pick = pick.when(p[r] == best, r)
-    return sheets.select("sheet", pick.alias("register"))
+    return sheets.select(key, pick.alias("register"))
 
 
 def role_of(token: Column) -> Column:
@@ -189,28 +189,29 @@ def confidence(points: Column, kind: Column, samples: Column) -> Column:
     return F.when((kind == "datum") & odd(date), "unsicher").when((kind == "zahl") & odd(r"^\d+$"), "unsicher").when(points >= 3, "sicher").when(points >= 2, "wahrscheinlich").otherwise("unsicher")
 
 
-def sample_profile(cells: DataFrame, n: int = 3) -> DataFrame:
-    """(col, samples, filled) of cells (col, row, value): the first n different values, cut to 40 characters, and how many cells are filled."""
+def sample_profile(cells: DataFrame, n: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, col, samples, filled) of cells (keys, col, row, value): the first n different values of each column, cut to 40 characters, and how many cells are filled."""
+    of = [*keys, "col"]
     filled = cells.where("value IS NOT NULL AND value <> ''")
-    first = filled.groupBy("col", "value").agg(F.min("row").alias("row"), F.count("*").alias("k"))
-    w = Window.partitionBy("col").orderBy("row", "value")
+    first = filled.groupBy(*of, "value").agg(F.min("row").alias("row"), F.count("*").alias("k"))
+    w = Window.partitionBy(*of).orderBy("row", "value")
     ranked = first.withColumn("nr", F.row_number().over(w))
     samples = F.transform(F.array_sort(F.collect_list(F.when(c("nr") <= n, F.struct("nr", F.substring("value", 1, 40).alias("v"))))), lambda s: s["v"])
-    return ranked.groupBy("col").agg(samples.alias("samples"), F.sum("k").alias("filled"))
+    return ranked.groupBy(*of).agg(samples.alias("samples"), F.sum("k").alias("filled"))
 
 
-def blank_words(cells: DataFrame) -> DataFrame:
-    """(word, n): short values (value) that stand for nothing: only dashes and the like, k.A., or N / NN if seen twice."""
+def blank_words(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, word, n): short values (keys, value) that stand for nothing: only dashes and the like, k.A., or N / NN if seen twice."""
     t = F.trim("value")
-    short = cells.select(t.alias("word")).where((F.length("word") > 0) & (F.length("word") <= 5) & ~F.regexp_like("word", F.lit(r"^\d+$")))
-    seen = short.groupBy("word").agg(F.count("*").alias("n"))
+    short = cells.select(*keys, t.alias("word")).where((F.length("word") > 0) & (F.length("word") <= 5) & ~F.regexp_like("word", F.lit(r"^\d+$")))
+    seen = short.groupBy(*keys, "word").agg(F.count("*").alias("n"))
     mark = F.regexp_like("word", F.lit(r"^[-—–?.\[\]()…/ ]+$"))
     return seen.where(mark | F.regexp_like("word", F.lit(r"(?i)^k\.?\s?a\.?$")) | (F.regexp_like("word", F.lit(r"(?i)^n\.?n?\.?$")) & (c("n") >= 2)))
 
 
-def carried_role(headings: DataFrame) -> DataFrame:
-    """``headings`` (sheet, pos, main) with context: the last main role named to the left in the sheet."""
-    w = Window.partitionBy("sheet").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+def carried_role(headings: DataFrame, pos: str = "pos", keys: tuple[str, ...] = ("sheet",)) -> DataFrame:
+    """``headings`` (keys, pos, main) with context: the last main role named to the left in the sheet."""
+    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return headings.withColumn("context", F.last("main", ignorenulls=True).over(w))
 
 
@@ -220,3 +221,70 @@ def fold_runs(columns: DataFrame) -> DataFrame:
     per_field = Window.partitionBy("sheet", "field").orderBy("pos")
     island = columns.withColumn("island", F.row_number().over(w) - F.row_number().over(per_field))
     return island.groupBy("sheet", "field", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).drop("island")
+
+
+#: The dates that an entry is dated by, for each register.
+LEAD_DATES = {"taufe": ["geburt_datum", "tauf_datum"], "ehe": ["trauung_datum"], "tod": ["sterbe_datum", "begraebnis_datum"]}
+_SHEET = ("file", "sheet")
+
+
+def numbered_runs(columns: DataFrame, keys: tuple[str, ...] = _SHEET) -> DataFrame:
+    """``columns`` (keys, col, heading, field) with ``first``: the column that a run of numbered headings ("Taufpate 1", "Taufpate 2", …) begins with, of others their own.
+
+    Neighbours whose headings are alike but for the number at their end are a run. It begins with the first of them that has a field, which is the field of all;
+    those before it stay alone.
+    """
+    number, base = F.regexp_like(F.trim("heading"), F.lit(r"\d$")), normal(F.regexp_replace("heading", r"\d+\s*$", ""))
+    w = Window.partitionBy(*keys).orderBy("col")
+    cols = columns.withColumn("_stem", F.when(number, base)).withColumn("_new", F.when(F.lag("_stem").over(w).eqNullSafe(c("_stem")) & c("_stem").isNotNull(), 0).otherwise(1))
+    cols = cols.withColumn("_island", F.sum("_new").over(w))
+    start = F.min(F.when(c("field").isNotNull(), c("col"))).over(Window.partitionBy(*keys, "_island"))
+    return cols.withColumn("first", F.when(c("_stem").isNotNull() & (start <= c("col")), start).otherwise(c("col"))).drop("_stem", "_new", "_island")
+
+
+def propose(cells: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
+    """What the columns of all sheets are taken for: file, sheet, register, first, last (columns), field, confidence, heading, samples, filled.
+
+    ``cells`` has file, sheet, row, col, value; headings stand in row 1. ``spoken`` (file, sheet, register) tells the register of sheets whose words don't, else it is found; a sheet of no register
+    is left out. A heading without a role belongs to the role named last to its left. Of several running numbers the one that gets highest is the total. field is null where nothing fits, and a column whose heading is
+    missing isn't there. All sheets are worked on at once; the cells are read twice, for headings and for samples of whole columns.
+    """
+    heads = cells.where("row = 1 AND trim(value) <> ''").select(*_SHEET, "col", c("value").alias("heading"))
+    if spoken is None:
+        sheets = heads.groupBy(*_SHEET).agg(F.sort_array(F.collect_list(F.struct("col", "heading")))["heading"].alias("headings"))
+        stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(?<=.)\.[^.]*$", "")
+        named = sheets.select(F.struct("file", c("sheet").alias("name")).alias("at"), "sheet", stem.alias("file"), "headings")
+        spoken = detect_register(named, "at").select("at.file", c("at.name").alias("sheet"), "register")
+    heads = heads.join(spoken.where("register IS NOT NULL").select(*_SHEET, "register"), list(_SHEET))
+    # What a heading says of itself: a sub-role alone names the default role, or leaves the carried one as it is.
+    alone = role_path(heads.withColumn("context", F.lit(None).cast("string"))).select(*_SHEET, "col", "heading", "register", "main")
+    ids = carried_role(alone, "col", _SHEET).withColumn("id", F.struct(*_SHEET, "col"))
+    found = guess_fields(ids, catalogue(cells.sparkSession)).select("id.*", "field", "points", "kind")
+    profile = sample_profile(cells.where("row > 1").withColumn("value", F.replace("value", F.lit("\n"), F.lit(" "))), keys=_SHEET)
+    none = F.array().cast("array<string>")
+    cols = ids.drop("id", "context", "main").join(found, [*_SHEET, "col"]).join(profile, [*_SHEET, "col"], "left").withColumns({"samples": F.coalesce("samples", none), "filled": F.coalesce("filled", F.lit(0))})
+    kind = F.when(F.endswith("field", F.lit("_praefix")), "text").otherwise(c("kind"))
+    cols = numbered_runs(cols.withColumn("confidence", F.when(c("field").isNotNull(), confidence(c("points"), kind, c("samples")))))
+    at_first = lambda x: F.min_by(x, "col").alias(x)
+    runs = cols.groupBy(*_SHEET, "register", "first").agg(F.max("col").alias("last"), *map(at_first, ("field", "confidence", "heading", "samples", "filled")))
+    numbers = F.transform("samples", lambda s: F.trim(s).try_cast("long"))
+    most = F.when((c("field") == "lfd_nr") & (F.size("samples") > 0) & F.forall(numbers, lambda n: n.isNotNull()), F.array_max(numbers)).otherwise(0)
+    per = Window.partitionBy(*_SHEET, c("field") == "lfd_nr")
+    nr = F.row_number().over(per.orderBy(most.desc(), "first"))
+    total = (c("field") == "lfd_nr") & (nr == 1) & (F.count("*").over(per) > 1)
+    return runs.withColumn("field", F.when(total, "lfd_nr_gesamt").otherwise(c("field"))).select(*_SHEET, "register", "first", "last", "field", "confidence", "heading", "samples", "filled")
+
+
+def as_mapping(proposal: DataFrame, blanks: DataFrame | None = None) -> list[dict]:
+    """A proposal (see :func:`propose`) as :func:`kinweave.sources.tables.dump_mapping` writes it; ``blanks`` has word. Headings of sheets are metadata, and reach the driver as those of a mapping do."""
+    words = sorted({r.word for r in blanks.select("word").distinct().collect()}) if blanks is not None else []
+    out: dict[tuple, dict] = {}
+    for r in proposal.orderBy(*_SHEET, "first").collect():
+        s = out.setdefault((r.file, r.sheet), {"name": r.sheet, "file": r.file.rsplit("/", 1)[-1], "register": r.register, "blanks": words, "lead": LEAD_DATES[r.register], "fields": [], "comments": {}, "open": []})
+        seen = " | ".join(r.samples) or "(leer)"
+        if r.field:
+            s["fields"].append((r.field, list(range(r.first, r.last + 1)), None))
+            s["comments"][r.first] = f"{r.confidence}: {r.heading.strip()}: {seen}"
+        else:
+            s["open"].append((r.first, f"{'unbekannt' if r.filled else 'leer'}: {r.heading.strip()}" + (f": {seen}" if r.filled else "")))
+    return list(out.values())

@@ -165,6 +165,32 @@ def split_participants(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("entry"), F.explode(mentions.split_participants(cell)).alias("participant"))
 
 
+#: A burial sheet for each nation, whose customers are its rows: column, heading, cell, and by hand the field it must get, with its confidence where the cells fit.
+_SHEET_COLUMNS = [
+    (0, "lfd. Nr", "CAST(c_custkey % 1000 AS STRING)", "lfd_nr", "sicher"), (1, "lfd. Nr", "CAST(c_custkey + 1000 AS STRING)", "lfd_nr_gesamt", "sicher"),
+    (2, "Sterbedatum", "CASE WHEN c_nationkey % 2 = 0 THEN concat('1', CAST(700 + c_custkey % 90 AS STRING), '-03-01') ELSE 'am Sonntag' END", "sterbe_datum", None),
+    (3, "Verst. Name", "c_name", "verstorbener_name", "sicher"), (4, "Alter", "CASE WHEN c_custkey % 2 = 0 THEN concat(CAST(c_custkey % 80 AS STRING), ' J') END", "verstorbener_alter", "sicher"),
+    (5, "Ehefrau", "CASE WHEN c_custkey % 5 = 0 THEN c_name END", "verstorbener_ehepartner", "sicher"), (6, "Zeuge 1", "c_mktsegment", "zeugen", "sicher"), (8, "Zeuge 3", "c_name", "zeugen", "sicher"),
+    (9, "Quux", "c_name", None, None),
+]
+_SHEETS_SQL = " UNION ALL ".join(f"SELECT c_nationkey AS sheet, c_custkey AS r, {i} AS col, {v.replace('STRING', 'VARCHAR')} AS v, {repr(f) if f else 'NULL'} AS field, {repr(k) if k else 'NULL'} AS sure FROM customer" for i, _, v, f, k in _SHEET_COLUMNS)
+
+
+@query(f"""WITH s AS ({_SHEETS_SQL}), f AS (SELECT sheet, col, v, min(r) AS r, count(*) AS n FROM s WHERE v IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY sheet, col ORDER BY r, v) AS nr FROM f), p AS (SELECT sheet, col, string_agg(v, ' | ' ORDER BY nr) FILTER (nr <= 3) AS samples, sum(n)::BIGINT AS filled FROM g GROUP BY ALL),
+k AS (SELECT DISTINCT sheet, col, field, sure FROM s WHERE col <> 8)
+SELECT k.sheet::VARCHAR AS sheet, col AS first, CASE WHEN col = 6 THEN 8 ELSE col END AS last, field, CASE WHEN col = 2 THEN CASE WHEN k.sheet % 2 = 0 THEN 'sicher' ELSE 'unsicher' END ELSE sure END AS confidence, coalesce(samples, '') AS samples, coalesce(filled, 0) AS filled FROM k LEFT JOIN p USING (sheet, col)""")
+def match_propose(spark, sf_dir):
+    """What the columns of a burial sheet for each nation are taken for, all sheets at once."""
+    rows = table(spark, sf_dir, "customer")
+    cell = lambda row, i, value: F.struct(row.cast("int").alias("row"), F.lit(i).alias("col"), value.alias("value"))
+    said = rows.select("c_nationkey", F.explode(F.array(*[cell(c("c_custkey") + 2, i, F.expr(v)) for i, _, v, _, _ in _SHEET_COLUMNS])).alias("x"))
+    heads = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(*[cell(F.lit(1), i, F.lit(h)) for i, h, _, _, _ in _SHEET_COLUMNS])).alias("x"))
+    cells = said.union(heads).select(F.lit("graeber.xlsx").alias("file"), c("c_nationkey").cast("string").alias("sheet"), "x.*").where("value IS NOT NULL")
+    out = matching.propose(cells)
+    return out.select("sheet", "first", "last", "field", "confidence", F.array_join("samples", " | ").alias("samples"), "filled")
+
+
 # ---- GEDCOM
 
 _P = f"p AS ({duck(PERSONS)})"

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.stats import ratio
-from .operators import families, verdicts
+from .operators import families, matching, verdicts
 from .operators.ingest import to_entries, to_fields
 from .operators.mentions import build_mentions
-from .sources import export, gedcom
+from .sources import export, gedcom, tables
 from .sources.shared import materialise
 
 c = F.col
@@ -33,7 +33,7 @@ class Project:
 
 
 def build(cells: DataFrame, sheets: list[dict], project: int = 0) -> Project:
-    """The mentions of all sheets of a mapping (see :func:`kinweave.sources.tables.load_mapping`).
+    """The mentions of all sheets of a mapping (see :func:`kinweave.sources.tables.load_mapping`); one that names a file is for that file's sheet.
 
     ``cells`` has file, sheet, row, col, value. Sheets and their names are metadata and reach the driver; rows stay where they are. A sheet that the cells
     don't have adds nothing.
@@ -42,7 +42,7 @@ def build(cells: DataFrame, sheets: list[dict], project: int = 0) -> Project:
     known = sorted((r.file, r.sheet) for r in cells.select("file", "sheet").distinct().collect())
     entries, titles = [], []
     for n, (file, name) in enumerate(known):
-        for s in (s for s in sheets if s["name"] == name):
+        for s in (s for s in sheets if s["name"] == name and s.get("file") in (None, file.rsplit("/", 1)[-1])):
             columns = sorted({col for _, run, _ in s["fields"] for col in run})
             rows = cells.where((c("file") == file) & (c("sheet") == name) & (c("row") > 1)).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("v"))
             rows = rows.select((F.lit(n).cast("long") * (1 << 32) + c("row")).alias("entry"), *[F.try_element_at("v", F.lit(col)).alias(f"c{col}") for col in columns])
@@ -63,6 +63,12 @@ def build(cells: DataFrame, sheets: list[dict], project: int = 0) -> Project:
     return Project(materialise(m, "mentions"), sources)
 
 
+def propose(cells: DataFrame) -> str:
+    """The text of a mapping file for all sheets of ``cells``, to be looked through (see :func:`kinweave.operators.matching.propose`)."""
+    blanks = matching.blank_words(cells.where("row > 1"), ("file", "sheet"))
+    return tables.dump_mapping(matching.as_mapping(matching.propose(cells), blanks))
+
+
 def link(project: Project, decisions: DataFrame | None = None, pin: bool = False) -> Project:
     """The project with its links and families, under human decisions (key, kind, target: a key) if there are any.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import tomllib
 import zipfile
@@ -173,44 +174,58 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
 
 
 def load_mapping(text: str) -> list[dict]:
-    """Sheets of a mapping file: name, register, blanks, and fields as (field, [column numbers], constant).
+    """Sheets of a mapping file: name, register, blanks, file if one is named, and fields as (field, [column numbers], constant).
 
-    A column is a letter or a run of letters like S-AN; ``X = "field=const"`` sets a constant for every tick in X.
+    A column is a letter or a run of letters like S-AN; ``X = "field=const"`` sets a constant for every tick in X. A sheet is a section of its own, ``[taufe]``, or one of
+    ``[register.taufe]`` with its columns in ``[register.taufe.spalten]``; what stands for nothing is named before all sections, in ``[allgemein]`` or in a sheet's own.
     """
     data = tomllib.loads(text)
-    blanks = list(data.get("leer", []))
+    blanks = [*data.get("leer", []), *data.get("allgemein", {}).get("leer", [])]
     out = []
-    for name, body in data.items():
+    for name, body in {**{k: v for k, v in data.items() if k not in ("register", "allgemein")}, **data.get("register", {})}.items():
         if not isinstance(body, dict):
             continue
         columns = body.get("spalten", {k: v for k, v in body.items() if re.fullmatch(r"[A-Z]+(-[A-Z]+)?", k)})
         fields = []
         for place, field in columns.items():
-            first, _, last = place.partition("-")
+            first, _, last = (x.strip() for x in place.partition("-"))
             run = list(range(column_index(first), column_index(last or first) + 1))
             field, _, constant = str(field).partition("=")
             if field:
                 fields.append((field.strip(), run, constant.strip() or None))
-        out.append({"name": body.get("blatt", name), "register": body.get("register", re.sub(r"_\d+$", "", name)), "blanks": blanks + list(body.get("leer", [])), "fields": fields})
+        register = body.get("register", re.sub(r"_\d+$", "", name))
+        out.append(({"file": body["datei"]} if "datei" in body else {}) | {"name": body.get("blatt", name), "register": register, "blanks": blanks + list(body.get("leer", [])), "fields": fields})
     return out
 
 
+def _quoted(text: str) -> str:
+    """A TOML string."""
+    return json.dumps(text, ensure_ascii=False)
+
+
 def dump_mapping(sheets: list[dict]) -> str:
     """A mapping file's text; a second sheet of a register gets a numbered section.
 
-    A proposal may carry, for each place, what is said about it ("notes": place to a comment), and headings that no field takes ("open": (column, title)), which
-    stand as lines to be filled in.
+    A proposal may carry the sheet's "file", the dates that lead ("lead"), for each place what is said about it ("notes": place to a comment; "comments": by first column), and headings that no field takes
+    ("open": (column, title)), which stand as lines to be filled in.
     """
     seen: dict[str, int] = {}
     out = []
-    letters = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
+    letters = lambda i: (letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+    line = lambda s: re.sub(r"\s+", " ", s)
+    blanks = sorted({w for s in sheets for w in s.get("blanks", [])})
+    if blanks:
+        out += [f"leer = [{', '.join(map(_quoted, blanks))}]", ""]
     for s in sheets:
         seen[s["register"]] = n = seen.get(s["register"], 0) + 1
-        out.append(f"[{s['register']}{f'_{n}' if n > 1 else ''}]\nblatt = \"{s['name']}\"\n")
+        out += [f"[{s['register']}{f'_{n}' if n > 1 else ''}]", f"blatt = {_quoted(s['name'])}"]
+        out += [f"datei = {_quoted(s['file'])}"] if s.get("file") else []
+        out += [f"leitdatum = [{', '.join(map(_quoted, s['lead']))}]"] if s.get("lead") else []
+        out.append("")
         for field, run, constant in s["fields"]:
             place = letters(run[0]) if len(run) == 1 else f"{letters(run[0])}-{letters(run[-1])}"
-            note = s.get("notes", {}).get(place)
-            out.append(f'{place} = "{field}{f"={constant}" if constant else ""}"' + (f"  # {note}" if note else ""))
-        out += [f'# {letters(col)} = "???"  # {title}' for col, title in s.get("open", [])]
+            note = s.get("notes", {}).get(place) or s.get("comments", {}).get(run[0])
+            out.append(f'{place} = {_quoted(field + (f"={constant}" if constant else ""))}' + (f"  # {line(note)}" if note else ""))
+        out += [f'# {letters(col)} = "???"  # {line(title)}' for col, title in s.get("open", [])]
         out.append("")
     return "\n".join(out)
