@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import count_words, text_of
 
 SEED = "mix"
-#: Words in a block; rows, on average, in one stretch of a source's seeded order.
-BLOCK, STRETCH = 64, 4_000
+#: Words in a block, at most; how many blocks the smallest target has, at least; rows, on average, in one stretch of a source's seeded order.
+BLOCK, FINE, STRETCH = 64, 16, 4_000
 MIXED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_from")
 
 
@@ -69,6 +69,12 @@ def quotas(targets: list[float], shards: int, block: int = BLOCK) -> list[list[i
     return [[b - a for a, b in zip(x, y, strict=True)] for x, y in zip(marks, marks[1:], strict=False)]
 
 
+def block_size(targets: list[float], most: int = BLOCK) -> int:
+    """Words in a block: ``most``, or fewer if a target would be less than :data:`FINE` blocks, so that small sources get their seats too."""
+    smallest = min((t for t in targets if t > 0), default=0.0)
+    return max(1, min(most, math.floor(smallest / FINE)))
+
+
 def _order() -> Column:
     return F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).cast("binary"))
 
@@ -78,7 +84,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, block: int = BLOCK, shards: int
 
     mix_size is the number of words of the text (null: 0); mix_target is the source's share of 150 %
     of all words, by the weights that ``weights`` gives the ordered list of sources, null last, and
-    never above twice the source's size. mix_taken is the number of words that the mix takes from the
+    never above twice the source's size. Blocks have ``block`` words, or fewer where a source is small (see :func:`block_size`). mix_taken is the number of words that the mix takes from the
     row: with whole blocks drawn in the seeded order that is the whole row once or twice or not at
     all, but for the row in which a source's last block ends. mix_from is the shard of the first
     block drawn from it (null if none). Only totals of sources reach the driver; the list of sources
@@ -105,6 +111,7 @@ def mix_measured(rows: DataFrame, weights=cyclic_weights, block: int = BLOCK, sh
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     targets = water_fill(sizes, weights([r["source"] for r in totals]))
+    block = block_size(targets, block)
     by_shard = quotas(targets, shards, block)
     table = [(r["source"], r["size"], float(t), sum(q[i] for q in by_shard), [sum(q[i] for q in by_shard[: k + 1]) for k in range(shards)], -(-r["n"] // stretch)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
     recipe = rows.sparkSession.createDataFrame(table, "mix_source string, mix_source_size long, mix_target double, mix_quota long, mix_ends array<long>, mix_stretches long")

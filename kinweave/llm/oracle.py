@@ -45,20 +45,21 @@ level AS (SELECT (3 * total - 4 * below)::BIGINT AS spare, (wtotal - wbelow)::BI
 t AS (
   SELECT source, nr, size, CASE WHEN r.rk < level.rk THEN (2 * size)::DOUBLE ELSE (spare * w)::DOUBLE / (weight * 2)::DOUBLE END AS target
   FROM r, level),
+b AS (SELECT greatest(1, least(64, floor(min(target) FILTER (WHERE target > 0) / 16)))::BIGINT AS block FROM t),
 seats AS (
   SELECT nr, count(*) AS quota FROM (
-    SELECT nr FROM t, LATERAL (SELECT unnest(range(1, (target / 64)::BIGINT + 3)) AS k)
+    SELECT nr FROM t, b, LATERAL (SELECT unnest(range(1, (target / block)::BIGINT + 3)) AS k)
     ORDER BY target / (2 * k - 1)::DOUBLE DESC, nr
-    LIMIT (SELECT round_even(sum(target) / 64, 0)::BIGINT FROM t))
+    LIMIT (SELECT round_even(sum(target) / any_value(block), 0)::BIGINT FROM t, b))
   GROUP BY nr),
 p AS (
   SELECT d.doc_id, d.size, t.size AS source_size, target, coalesce(quota, 0) AS quota,
-         (t.size + 63) // 64 AS blocks,
+         block, (t.size + block - 1) // block AS blocks,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats ON seats.nr = t.nr)
+  FROM b, d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats ON seats.nr = t.nr)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE least(quota // blocks * size
-         + greatest(0, least(size, least(quota % blocks * 64, source_size) - start)), 2 * size) END::BIGINT AS taken
+         + greatest(0, least(size, least(quota % blocks * block, source_size) - start)), 2 * size) END::BIGINT AS taken
 FROM p
 """
 

@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import anomalies, common, exact_dedup, licences, mixing, near_dedup, pieces, quality, secrets, sharding, trees, url_filter
+from kinweave.llm.oracle import ORACLE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -499,6 +501,20 @@ def test_water_fill_and_sainte_lague():
             assert all(q >= 0 for row in by_shard for q in row)
 
 
+def test_small_sources_get_their_words(spark, tmp_path):
+    rows = [(i, "large", " ".join(["w"] * 500)) for i in range(100)] + [(1000 + i, f"small{i}", "a b c d e") for i in range(6)] + [(2000, "one", "x"), (2001, "none", ""), (2002, "null", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix(docs).collect()
+    taken = {s: (sum(r.mix_taken for r in out if r.source == s), next(r.mix_target for r in out if r.source == s)) for s in {r.source for r in out}}
+    assert all(abs(n - target) <= 2 for s, (n, target) in taken.items() if s != "large"), taken
+    assert taken["large"][0] == pytest.approx(taken["large"][1], rel=0.001) and taken["small3"] == (10, 10.0) and taken["none"][0] == taken["null"][0] == 0
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, taken FROM ({ORACLE['op8_mixing']}) o").fetchall()}
+    assert told == {r.doc_id: r.mix_taken for r in out}
+
+
 def test_mix_nears_targets(docs, empty):
     out = mixing.mix(docs, block=4, stretch=10).collect()
     by = {}
