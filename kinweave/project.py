@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.stats import ratio
-from .operators import families, matching, verdicts
+from .operators import comparison, families, matching, verdicts
 from .operators.ingest import to_entries, to_fields
 from .operators.mentions import build_mentions
 from .sources import export, gedcom, tables
@@ -94,7 +94,7 @@ REVIEW = ("FALL", "SCHLUESSEL", "REGISTER", "JAHR", "FUNDSTELLE", "ROLLE", "NENN
 
 
 def persons(project: Project) -> DataFrame:
-    """(identity, who, key, second): each identity as lists show it, number, name, years of birth and death, and the keys of its first two mentions."""
+    """(identity, who, key, second, name, given, unknown): each identity as lists show it, number, name, years of birth and death, the keys of its first two mentions, and its names."""
     m = project.mentions.join(project.links.select("id", "identity"), "id")
     named = lambda x, order: F.min_by(x, F.struct(c(x).isNull(), *order))
     birth = F.min(F.when(c("path") == "kind", F.coalesce("birth.y", "date.y")))
@@ -105,7 +105,7 @@ def persons(project: Project) -> DataFrame:
     second = m.join(one.select("identity", c("low.id").alias("low_id")), "identity").where("id > low_id").groupBy("identity").agg(F.min(F.struct("id", "stable_key"))["stable_key"].alias("second"))
     said = lambda x, none: F.coalesce(c(x).cast("string"), F.lit(none))
     who = F.concat(F.lit("["), c("identity").cast("string"), F.lit("] "), F.coalesce("name", F.when(c("unknown"), "NN").otherwise("-")), F.lit(", "), said("given", "-"), F.lit(" *"), said("born", "?"), F.lit(" †"), said("died", "?"))
-    return one.join(second, "identity", "left").select("identity", who.alias("who"), c("low.stable_key").alias("key"), "second")
+    return one.join(second, "identity", "left").select("identity", who.alias("who"), c("low.stable_key").alias("key"), "second", "name", "given", "unknown")
 
 
 def review(project: Project, decisions: DataFrame | None = None, everything: bool = False) -> DataFrame:
@@ -140,6 +140,39 @@ def decide(project: Project, sheet: DataFrame, decisions: DataFrame | None = Non
     return verdicts.apply_verdicts(none if decisions is None else decisions, verdicts.read_verdicts(said, known))
 
 
+@dataclass
+class Comparison:
+    """report: one row of figures; deviations: the rows of :data:`kinweave.operators.comparison.DEVIATIONS`; stages: how often each stage is right; parents: how parents agree at baptisms."""
+
+    report: DataFrame
+    deviations: DataFrame
+    stages: DataFrame
+    parents: DataFrame
+
+
+def compare(project: Project, lines: DataFrame, by: str = "citation", since: int = 0) -> Comparison:
+    """The linked project against a reference tree (a GEDCOM's lines), entry by entry: by "citation", or by "content" where the reference cites nothing.
+
+    A reference isn't free of faults: deviations are questions to both sides.
+    """
+    ref_persons, keys, ref_parents = comparison.reference(lines, by)
+    keys = materialise(keys, "reference-keys")
+    own = materialise(comparison.own_keys(project.mentions, project.links, by), "own-keys")
+    both = materialise(comparison.shared(own, keys, since), "shared-entries")
+    mine = persons(project)
+    year = lambda x: F.coalesce(c(x).cast("string"), F.lit("?"))
+    shown = F.concat("surname", F.lit(", "), "given", F.lit(" *"), year("birth"), F.lit(" †"), year("death"))
+    ref_persons = materialise(ref_persons.withColumn("who", shown), "reference-persons")
+    parents = project.families.select(F.explode("children").alias("ident"), c("husband").alias("father"), c("wife").alias("mother"))
+    pairs = materialise(comparison.parents_of(both, parents, ref_parents), "parents")
+    asked = pairs.select(c("own_father").alias("ident"), c("ref_father").alias("ref")).union(pairs.select("own_mother", "ref_mother"))
+    same = comparison.same_persons(asked, own, keys, mine.withColumnRenamed("identity", "ident"), ref_persons)
+    return Comparison(
+        comparison.report(both), comparison.deviations(both, mine.select(c("identity").alias("ident"), "who"), ref_persons), comparison.stages(both),
+        comparison.parents_agree(pairs, materialise(same, "same-persons")),
+    )
+
+
 def write_gedcom(project: Project, path: str, participants: DataFrame | None = None, notes: DataFrame | None = None) -> None:
     """The linked project as text files below ``path`` that, one after another, are a GEDCOM."""
     export.write_records(export.linked_records(project.mentions, project.links, project.families, project.sources, participants, notes), path)
