@@ -12,14 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .common import materialise, text_of
 
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 16 << 20
 SEED = 20
-#: Rows of one doc_id and text from which on they are scattered one by one; buckets whose counts are summed up together.
-REPEATED, SET = 256, 4096
+#: Copies of a row that one task numbers; buckets whose counts are summed up together.
+COPIES, SET = 65536, 4096
 
 
 def record_size(text: str = "text") -> Column:
@@ -38,19 +39,32 @@ def _fisher_yates(seed: int):
     return shuffled
 
 
+def _holds_map(kind: DataType) -> bool:
+    """Whether a map stands anywhere in a type; such a column can't be hashed as it is."""
+    if isinstance(kind, MapType):
+        return True
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
 def _marked(docs: DataFrame, seed: int) -> DataFrame:
-    """(record, mark): every row packed into one column, with a seeded hash of its id and text that parts repeated rows too.
+    """(record, mark): every row packed into one column, with a seeded hash of all its columns that parts repeated rows too.
 
-    Rows of a hash that :data:`REPEATED` rows or more share are folded, which sums up where the rows are, and
-    numbered anew; their number goes into the hash, so that copies of one row scatter like any others.
+    Rows whose hash is not theirs alone are folded, which sums up where the rows are, and numbered; their number goes into the
+    hash, so that copies of one row scatter like any others, be they two or a third of all rows. What was folded is unfolded
+    in two steps, so that no task emits more than :data:`COPIES` rows for one it has read.
     """
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(packed.alias("record"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"))
-    often = materialise(rows.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED).drop("n"), "repeated")
+    rows = docs.select(packed.alias("record"), F.xxhash64(F.lit(seed), *hashed).alias("mark"))
+    often = materialise(rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "repeated")
     if often.isEmpty():
         return rows
     hot = rows.join(often, "mark", "left_semi").groupBy("record", "mark").agg(F.count("*").alias("n"))
-    hot = hot.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("record", F.xxhash64("mark", "k").alias("mark"))
+    hot = hot.withColumn("set", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int")))).repartition("mark", "set")
+    within = F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("n") - F.col("set").cast("long") * COPIES).cast("int"))
+    hot = hot.withColumn("k", F.explode(within)).select("record", F.xxhash64("mark", "set", "k").alias("mark"))
     return rows.join(often, "mark", "left_anti").select("record", "mark").union(hot)
 
 
@@ -58,10 +72,10 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = SEED, bucket_byte
     """All rows of ``docs`` (doc_id, text and any others) with shard (int) and slot (long, gapless from 0 in each shard).
 
     The law is ``rows``: the shards' row counts are at most one apart. The same rows, seed and
-    bucket size give the same shards again, however the input is partitioned; rows equal in doc_id
-    and text are interchangeable. Null texts count as empty bytes, null doc_ids are hashed by their
-    text. Repeated rows, however many, are dealt to all buckets (columns of a map type can't be compared and are not
-    supported then). An empty table gives an empty result; further columns are passed through, packed into one; those named
+    bucket size give the same shards again, however the input is partitioned; rows equal in all columns
+    are interchangeable. Null texts count as empty bytes, null doc_ids are hashed by the other
+    columns. Repeated rows, few or many, are dealt to all buckets, so that a bucket is as large as chance and its
+    longest text make it. An empty table gives an empty result; further columns are passed through, packed into one; those named
     shard or slot are replaced.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]

@@ -276,6 +276,19 @@ def test_repeated_rows_fill_all_buckets(spark, monkeypatch):
     assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.text, r.shard, r.slot) for r in out)
 
 
+def test_few_copies_of_large_texts_scatter(spark, monkeypatch):
+    """Copies are parted at every count: 60 of each of 20 texts fill no bucket alone, and rows that differ in another column only stay where they are, run for run."""
+    df = spark.range(1200).select((F.col("id") % 20).alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.create_map(F.lit("k"), F.lit(1)).alias("tags"))
+    sizes = [r["count"] for r in sharding._marked(df, 1).withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(60))).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) < 50  # 20 on average; unparted copies would make 60 and more
+    assert sharding._marked(df, 1).select("mark").distinct().count() == 1200
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    assert sharding._marked(df, 1).select("mark").distinct().count() == 1200
+    differ = spark.range(90).select(F.lit(1).alias("doc_id"), F.lit("a").alias("text"), (F.col("id") % 45).alias("lang"))
+    seen = [Counter((r.lang, r.shard, r.slot) for r in sharding.external_shuffle(d, 4, bucket_bytes=200).collect()) for d in (differ, differ.repartition(6))]
+    assert seen[0] == seen[1] and sum(seen[0].values()) == 90
+
+
 def test_shards_are_written(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
