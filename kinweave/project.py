@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.stats import ratio
 from .operators import comparison, families, matching, verdicts
 from .operators.ingest import to_entries, to_fields
 from .operators.mentions import build_mentions
-from .sources import export, gedcom, tables
+from .sources import export, gedcom, store, tables
 from .sources.shared import materialise
 
 c = F.col
@@ -81,6 +81,29 @@ def link(project: Project, decisions: DataFrame | None = None, pin: bool = False
     return Project(project.mentions, project.sources, links, materialise(found, "families"))
 
 
+def save(project: Project, path: str, decisions: DataFrame | None = None) -> int:
+    """Write the project, linked or not, and people's decisions (key, kind, target) as the next version at ``path`` (see :mod:`kinweave.sources.store`)."""
+    parts = {"mentions": project.mentions, "sources": project.sources, "links": project.links, "families": project.families, "decisions": decisions}
+    return store.save({name: table for name, table in parts.items() if table is not None}, path)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[Project, DataFrame | None]:
+    """(project, decisions) of a version at ``path``, the newest whole one if none is named."""
+    parts = store.load(spark, path, version)
+    return Project(parts["mentions"], parts["sources"], parts.get("links"), parts.get("families")), parts.get("decisions")
+
+
+def rebuild(path: str, cells: DataFrame, sheets: list[dict], project: int = 0, pin: bool = False) -> Project:
+    """The project at ``path`` built and linked anew from ``cells``, under the decisions of its newest version, which are kept by key; written as the next version.
+
+    Until the new version is whole, readers have the one before; a rebuild that fails leaves it in place. Where nothing is stored yet, the first version is made.
+    """
+    spark = cells.sparkSession
+    before = load(spark, path)[1] if store.versions(spark, path) else None
+    number = save(link(build(cells, sheets, project), before, pin), path, before)
+    return load(spark, path, number)[0]
+
+
 def status(project: Project) -> DataFrame:
     """One row: entries, mentions, identities, families, those of a wedding entry, children, and mentions of which nobody knows a name."""
     m = project.mentions.agg(F.countDistinct("entry").alias("entries"), F.count("*").alias("mentions"), F.count_if(c("name").isNull()).alias("nameless"))
