@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import comparison as C
+from ..sources.shared import materialise
 from .frames import table
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ def _both(spark, sf_dir):
     own = o.select("key", "kind", c("o_custkey").alias("ident"), c("o_orderstatus").alias("stage"), c("o_orderpriority").alias("reason"), c("o_orderkey").cast("string").alias("text"))
     known = o.join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
     keys = known.select("key", F.concat(F.lit("@"), "c_nationkey", "c_mktsegment", F.year("o_orderdate"), F.lit("@")).alias("ref"), "kind")
-    return C.shared(own, keys)
+    return materialise(C.shared(own, keys), "shared-entries")
 
 
 @query(f"""WITH {_BOTH}, n AS (SELECT count(*) AS entries FROM b),

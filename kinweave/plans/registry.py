@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calls, comparison, linkage, registers, reports, rules
+from . import books, calls, comparison, linkage, registers, reports, rules
 
-_PARTS = (linkage, registers, reports, comparison, rules, calls)
+_PARTS = (linkage, registers, reports, comparison, rules, books, calls)
 #: Loops over edges, of many small jobs: they stand last, so that what is bounded in time gets to all others first.
 LAST = ("linkage_components", "linkage_stages", "strong_components", "sample_disjoint", "linkage_roundtrip", "linkage_families", "linkage_couples_found", "gedcom_linked")
 _ALL = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
