@@ -203,7 +203,7 @@ def overlay_decisions(links: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-#: Persons of one cell that are looked at: more than an entry has principals, so that what is left tells whether one fits.
+#: Persons of one cell that are looked at: two more than an entry has principals, so that what is left tells whether one fits. Entries with more principals are asked of all persons.
 _FEW = 16
 
 
@@ -212,7 +212,7 @@ def resolve_participants(participants: DataFrame, persons: DataFrame, principals
 
     ``participants`` has part_id, key (phonetic), given (canonical), surname, year, and may have single (said to be unmarried) and entry; ``persons``
     person_id, key, given, surname, year (of a mention), birth_y, death_y, and may have wed_y (first wedding); ``principals`` (entry, person_id) are those whom an entry
-    is about, who are none of its participants (15 at most).
+    is about, who are none of its participants.
     Key and given name must be equal, surnames close, the mention within ``years``, and the person old
     enough, not dead in an earlier year, and not married before if said to be single. Equal questions are asked once, of persons folded into cells of equal names and years, so
     that the work grows with names and years and not with the bearers of a frequent name: of a cell the first few persons tell whether
@@ -227,12 +227,22 @@ def resolve_participants(participants: DataFrame, persons: DataFrame, principals
     cells = few.groupBy(*cell).agg(F.collect_list("person_id").alias("ids"))
     near = F.abs(c("year") - c("p_year")) <= years
     alive = F.coalesce(c("year") - c("birth_y") >= least_age, F.lit(True)) & F.coalesce(c("death_y") >= c("year"), F.lit(True)) & ~(c("single") & F.coalesce(c("wed_y") < c("year"), F.lit(False)))
-    met = asks.join(cells, ["key", "given"]).where(near & alive & close_spelling(c("surname"), c("p_surname")))
+    fits = near & alive & close_spelling(c("surname"), c("p_surname"))
+    met = asks.join(cells, ["key", "given"]).where(fits)
     found = met.groupBy(*ask).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     out = participants.join(found, ask, "left").withColumn("ids", F.coalesce("ids", F.array().cast(dict(each.select(F.array("person_id").alias("x")).dtypes)["x"])))
+    n, one = F.size("ids"), F.get("ids", F.lit(0))
     if principals is not None:
-        own = principals.groupBy("entry").agg(F.collect_set("person_id").alias("own"))
-        out = out.join(own, "entry", "left").withColumn("ids", F.when(c("own").isNotNull(), F.array_except("ids", "own")).otherwise(c("ids")))
-    n = F.size("ids")
+        own = principals.select("entry", "person_id").distinct()
+        sizes = own.groupBy("entry").agg(F.count("*").alias("n_own"))
+        small = own.join(sizes.where(c("n_own") <= _FEW - 2), "entry").groupBy("entry").agg(F.collect_set("person_id").alias("own"))
+        out = out.join(small, "entry", "left").withColumn("ids", F.when(c("own").isNotNull(), F.array_except("ids", "own")).otherwise(c("ids")))
+        # Where an entry has more, all bearers are met, and its principals taken away.
+        large = participants.join(sizes.where(c("n_own") > _FEW - 2), "entry", "left_semi")
+        left = large.select("part_id", "entry", *ask).join(each, ["key", "given"]).where(fits).select("part_id", "entry", "person_id").distinct().join(own, ["entry", "person_id"], "left_anti")
+        left = left.groupBy("part_id").agg(F.count("*").cast("int").alias("n_left"), F.min("person_id").alias("first"))
+        of = large.select("part_id", F.lit(True).alias("large")).join(left, "part_id", "left")
+        out = out.join(of, "part_id", "left")
+        n, one = F.when(c("large"), F.coalesce("n_left", F.lit(0))).otherwise(n), F.when(c("large"), c("first")).otherwise(one)
     reason = F.when(n == 0, "none fits").when(n > 1, "several fit").otherwise("one fits")
-    return out.select("part_id", F.when(n == 1, F.get("ids", F.lit(0))).alias("person_id"), reason.alias("reason"))
+    return out.select("part_id", F.when(n == 1, one).alias("person_id"), reason.alias("reason"))
