@@ -7,6 +7,7 @@ them with their weights; what is kept is compiled into one Spark column expressi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from .trees import Node, fit_tree, predict
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 40, 3, 2
 ACCEPT = 0.3
+#: Rows of the rules' matrix that are doubles at a time.
+BLOCK = 256
 
 #: One condition: feature, whether the value is at most the threshold, threshold.
 Rule = tuple[tuple[int, bool, float], ...]
@@ -100,16 +103,29 @@ def boosted_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: in
     return list(rules)
 
 
+def _blocks(r: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows after others, as doubles after a column of ones: the whole matrix stays at a byte a value."""
+    for i in range(0, len(r), BLOCK):
+        z = np.ones((len(r[i : i + BLOCK]), r.shape[1] + 1))
+        z[:, 1:] = r[i : i + BLOCK]
+        yield slice(i, i + BLOCK), z
+
+
 def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Intercept and weights of an L1-penalised logistic regression, by accelerated proximal steps."""
     n, k = r.shape
-    z = np.column_stack((np.ones(n), r))
-    step = 4 * n / (np.linalg.norm(z, 2) ** 2 + 1e-9)
+    gram = np.zeros((k + 1, k + 1))
+    for _, z in _blocks(r):
+        gram += z.T @ z
+    step = 4 * n / (np.linalg.eigvalsh(gram)[-1] + 1e-9)
     w = v = np.zeros(k + 1)
     w[0] = v[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     t = 1.0
     for _ in range(rounds):
-        u = v - step * (z.T @ (1 / (1 + np.exp(-(z @ v))) - y) / n)
+        slope = np.zeros(k + 1)
+        for at, z in _blocks(r):
+            slope += (1 / (1 + np.exp(-(z @ v))) - y[at]) @ z
+        u = v - step * (slope / n)
         u[1:] = np.sign(u[1:]) * np.maximum(np.abs(u[1:]) - step * penalty, 0)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = u + (t - 1) / t_next * (u - w), u, t_next
@@ -122,12 +138,14 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, dept
         p = (y.sum() + 1) / (len(y) + 2)
         return RuleEnsemble(names, float(np.log(p / (1 - p))), [])
     rules = boosted_rules(x, y, trees, depth, seed)
-    r = np.column_stack([_holds(rule, x) for rule in rules]).astype(float) if rules else np.zeros((len(y), 0))
+    r = np.empty((len(y), len(rules)), bool)
+    for i, rule in enumerate(rules):
+        r[:, i] = _holds(rule, x)
     aside = np.arange(len(y)) % 5 == 0
     best = None
     for penalty in (0.01, 0.003, 0.001, 0.0003):
         b, w = lasso_logistic(r[~aside], y[~aside], penalty)
-        m = b + r[aside] @ w
+        m = np.concatenate([z @ np.append(b, w) for _, z in _blocks(r[aside])])
         loss = float(np.mean(np.logaddexp(0, m) - y[aside] * m)) if aside.any() else 0.0
         if best is None or loss < best[0] - 1e-4:
             best = (loss, penalty)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -152,6 +153,36 @@ def test_compiled_score_against_a_plain_evaluation(spark):
     assert ((scores > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_learning_holds_no_matrix_of_doubles():
+    """The rules' matrix is a byte a value on the driver, and the weights are those of the dense steps."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 4))
+    y = ((x[:, 0] > 0.2) & (x[:, 1] < 0.5) | (x[:, 2] > 1.2)).astype(float)
+    rules = quality.boosted_rules(x, y, 20, 3, quality.SEED)
+    tracemalloc.start()
+    model = quality.fit(x, y, ["q_a", "q_b", "q_c", "q_d"], trees=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rules) > 150 and peak < 4 * len(x) * len(rules)  # doubles would be 8 a value, and more for each copy
+    assert ((_margins(model, x) > 0) == (y == 1)).mean() > 0.95
+    r = np.column_stack([quality._holds(rule, x) for rule in rules[:40]])
+    z = np.column_stack((np.ones(len(r)), r))
+    step = 4 * len(r) / np.linalg.norm(z, 2) ** 2
+    w = v = np.append(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), np.zeros(40))
+    t = 1.0
+    for _ in range(30):
+        u = v - step * (z.T @ (1 / (1 + np.exp(-(z @ v))) - y) / len(r))
+        u[1:] = np.sign(u[1:]) * np.maximum(np.abs(u[1:]) - step * 0.001, 0)
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        v, w = u + (before - 1) / t * (u - w), u
+    intercept, weights = quality.lasso_logistic(r, y, 0.001, 30)
+    assert np.append(intercept, weights) == pytest.approx(w, abs=1e-9)
+
+
+def _margins(model, x):
+    return model.intercept + sum(w * quality._holds(rule, x) for rule, w in model.rules)
+
+
 def test_rules_are_paths():
     x = np.array([[0.0, 1.0], [1.0, 0.0], [2.0, 1.0], [3.0, 0.0]] * 20)
     tree = quality.fit_tree(x, (x[:, 0] > 1.5).astype(float), 2, 1, np.random.default_rng(1))
