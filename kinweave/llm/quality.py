@@ -184,6 +184,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     text = F.coalesce(F.col("row.text"), F.lit(""))
     stats = [c.cast("double").alias(k) for k, c in statistics(text).items()]
     model = learn(packed.select(F.col("row.doc_id").alias("doc_id"), *stats), labels, sample)
-    # The statistics are one value that the rules share, so that none is worked out again for each rule.
-    rows = packed.withColumn("stats", F.array(F.struct(*stats)))
-    return rows.where(F.expr(f"exists(stats, s -> {model.score('s.')} >= {ACCEPT}D)")).select("row.*")
+    # A filter would move below the statistics and work each out again for every rule; one on what an outer explode gives stays above.
+    kept = packed.select("row", *stats).select(F.expr(f"CASE WHEN {model.score()} >= {ACCEPT}D THEN array(row) END").alias("kept"))
+    return kept.select(F.explode_outer("kept").alias("row")).where("row IS NOT NULL").select("row.*")
