@@ -114,7 +114,7 @@ def open_model(spark: SparkSession, path: str) -> Model:
         names = {x.getPath().getName().removesuffix(".parquet"): x.getPath().toString() for x in fs.listStatus(at)}
         if set(NEEDED) & set(names):
             return from_tables({name: spark.read.parquet(names[name]) for name in TABLES if name in names})
-        return Model(*gedcom.read_model(gedcom.read_lines(spark, path)))
+        return Model(*gedcom.model_of(gedcom.read_texts(spark, path)))
     opened = fs.open(at)
     try:
         head = bytes(x for x in (opened.read() for _ in SQLITE) if x >= 0)
@@ -122,4 +122,4 @@ def open_model(spark: SparkSession, path: str) -> Model:
         opened.close()
     if head == SQLITE:
         return from_tables({name: read_sqlite(spark, path, name, schema) for name, schema in TABLES.items()})
-    return Model(*gedcom.read_model(gedcom.read_lines(spark, path)))
+    return Model(*gedcom.model_of(gedcom.read_texts(spark, path)))
