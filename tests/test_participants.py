@@ -30,3 +30,18 @@ def test_entries_of_any_number_of_principals(spark):
         want[number] = (fit[0] if len(fit) == 1 else None, "none fits" if not fit else "one fits" if len(fit) == 1 else "several fit")
     assert {r.part_id: (r.person_id, r.reason) for r in got} == want and len(got) == len(parts)
     assert {w[1] for w in want.values()} == {"none fits", "one fits", "several fit"}
+
+
+def test_equal_cells_are_parsed_once(spark):
+    from kinweave.operators.ingest import to_entries, to_fields
+    from kinweave.operators.mentions import build_mentions
+
+    cells = [(i, "Haag", "Hans" if i % 2 else None, "3 J", "1750-02-03", "Haag, Jacob, weyl." if i % 3 else None) for i in range(12)]
+    rows = spark.createDataFrame(cells, "entry long, verstorbener_name string, verstorbener_vorname string, verstorbener_alter string, sterbe_datum string, verstorbener_vater string")
+    m = build_mentions(to_entries(to_fields(rows, [(x, [x], None) for x in rows.columns[1:]]), "tod"))
+    said = sorted((r.entry, r.path, r.name, r.given, r.name_key, r.given_canon, r.sex, r.age_days, r.birth and r.birth.y, r.deceased) for r in m.collect())
+    dead = [(i, "verstorbener", "Haag", "Hans" if i % 2 else None, "04", "johan" if i % 2 else None, "M" if i % 2 else None, 1095, 1747, False) for i in range(12)]
+    fathers = [(i, "verstorbener_vater", "Haag", "Jacob", "04", "jakob", "M", None, None, True) for i in range(12) if i % 3]
+    assert said == sorted(dead + fathers, key=lambda x: x[:2])
+    # Names are parsed below an aggregation of equal cells, which meets the mentions again.
+    assert "Join" in m._jdf.queryExecution().optimizedPlan().toString()
